@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .licenses import op2_license_scan
 from .packing import op9_pack_ffd
+from .quality import op7_quality
 from .secrets import op10_secret_scan
 from .sentencepieces import op3_sentencepiece
 from .simhash import op1_simhash
+from .toxicity import op6_toxicity
 
-QUERIES = {q.__name__: q for q in (op1_simhash, op2_license_scan, op3_sentencepiece, op9_pack_ffd, op10_secret_scan)}
+QUERIES = {q.__name__: q for q in (op1_simhash, op2_license_scan, op3_sentencepiece, op6_toxicity, op7_quality, op9_pack_ffd, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}

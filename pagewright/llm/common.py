@@ -56,34 +56,34 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
+def with_text(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """The kept columns, then the text (null: empty) as __text."""
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def out_schema(df: DataFrame, id_col: str, fields: str) -> T.StructType:
-    """The id field as df has it, then the fields of a DDL string."""
-    rest = T.StructType.fromDDL(fields)
-    return T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *rest.fields])
+def out_schema(df: DataFrame, keep: list[str], fields: str) -> T.StructType:
+    """The kept fields as df has them, then the fields of a DDL string."""
+    return T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + T.StructType.fromDDL(fields).fields)
 
 
-def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """(ids, texts as UTF-8) of pieces of the batches with about max_bytes of text each; a longer text comes alone."""
+def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 14) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Pieces of the batches with about max_bytes of text each, and their texts as UTF-8; a longer text comes alone."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+        texts = batch.column("__text").cast(pa.binary())
         start, size, held = 0, 0, []
-        for i in range(len(ids)):
+        for i in range(len(batch)):
             b = texts[i].as_py()
-            if held and size + len(b) > max_bytes:
-                yield ids.slice(start, i - start), held
+            if held and (size + len(b) > max_bytes or len(held) >= max_rows):
+                yield batch.slice(start, i - start), held
                 start, size, held = i, 0, []
             held.append(b)
             size += len(b)
         if held:
-            yield ids.slice(start, len(ids) - start), held
+            yield batch.slice(start, len(batch) - start), held
 
 
 def arrow_batch(schema: T.StructType, columns: list) -> pa.RecordBatch:
@@ -97,13 +97,42 @@ def arrow_batch(schema: T.StructType, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, schema=pa.schema([pa.field(f.name, f.type, True) for f in want]))
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, fields: str, work, max_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Run work(list of UTF-8 texts) -> list of result columns over all rows, in pieces of bounded size."""
-    src = id_and_text(df, id_col, text_col)
-    schema = out_schema(src, id_col, fields)
+def map_texts(df: DataFrame, keep: str | list[str], text_col: str, fields: str, work, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 14) -> DataFrame:
+    """The kept columns, and work(list of UTF-8 texts) -> list of result columns, over all rows in pieces of bounded size."""
+    keep = [keep] if isinstance(keep, str) else keep
+    src = with_text(df, keep, text_col)
+    schema = out_schema(src, keep, fields)
 
     def run(batches):
-        for ids, texts in slices(batches, max_bytes):
-            yield arrow_batch(schema, [ids, *work(texts)])
+        for piece, texts in slices(batches, max_bytes, max_rows):
+            yield arrow_batch(schema, [*(piece.column(c) for c in keep), *work(texts)])
 
     return src.mapInArrow(run, schema)
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int) -> DataFrame:
+    """(text, y) of at most max_rows labelled documents outside the held-out fold, chosen by a hash of their ids.
+
+    The fold of a row is crc32(doc_id as text) mod folds. Repeated ids count once
+    (smallest text, largest label), so that the bound holds whatever repeats.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(fold(folds) != held_out)
+    chosen = known.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+
+def fold(folds: int, id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def fitted(sample: DataFrame, fit) -> bytes:
+    """fit(texts, labels) -> bytes, run by one task over a bounded sample in the order of its ids."""
+
+    def run(table):
+        table = table.sort_by("doc_id")
+        model = fit(table.column("text").cast(pa.binary()).to_pylist(), table.column("y").to_pylist())
+        return pa.table({"model": pa.array([model], pa.binary())})
+
+    found = sample.groupBy(F.lit(0)).applyInArrow(run, "model binary").collect()
+    return bytes(found[0][0]) if found else fit([], [])

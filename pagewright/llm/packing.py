@@ -90,27 +90,26 @@ def encoder(path: str):
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = SEQUENCE, closing: int = 0) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens and `deal`, the random number that deals it to a group."""
     path = tokenizer or default_tokenizer()
-    src = common.id_and_text(df, id_col, text_col).withColumn("__part", F.spark_partition_id())
-    schema = common.out_schema(src, id_col, "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, deal bigint")
+    src = common.with_text(df, [id_col], text_col).withColumn("__part", F.spark_partition_id())
+    schema = common.out_schema(src, [id_col], "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, deal bigint")
     end = np.array([closing], dtype="<u4").tobytes()
 
     def run(batches):
         encode, row = encoder(path), 0
-        for batch in batches:
-            part = batch.column(2)[0].as_py() if len(batch) else 0
-            for keys, texts in common.slices([batch]):
-                which, cols = [], ([], [], [], [], [])
-                for i, b in enumerate(texts):
-                    data = memoryview(encode(b.decode("utf-8", "replace")) + end)
-                    n = len(data) // 4
-                    row += 1
-                    for start in range(0, n, length):
-                        stop = min(start + length, n)
-                        which.append(i)
-                        deal = zlib.crc32(f"{part}:{row}:{start}".encode())
-                        for c, v in zip(cols, (start, stop - start, zlib.crc32(data[4 * start : 4 * stop]), n, deal), strict=True):
-                            c.append(v)
-                yield common.arrow_batch(schema, [keys.take(pa.array(which, type=pa.int64())), *cols])
+        for piece, texts in common.slices(batches):
+            part = piece.column("__part")[0].as_py()
+            which, cols = [], ([], [], [], [], [])
+            for i, b in enumerate(texts):
+                data = memoryview(encode(b.decode("utf-8", "replace")) + end)
+                n = len(data) // 4
+                row += 1
+                for start in range(0, n, length):
+                    stop = min(start + length, n)
+                    which.append(i)
+                    deal = zlib.crc32(f"{part}:{row}:{start}".encode())
+                    for c, v in zip(cols, (start, stop - start, zlib.crc32(data[4 * start : 4 * stop]), n, deal), strict=True):
+                        c.append(v)
+            yield common.arrow_batch(schema, [piece.column(id_col).take(pa.array(which, type=pa.int64())), *cols])
 
     return src.mapInArrow(run, schema)
 

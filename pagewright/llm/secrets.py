@@ -212,29 +212,29 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return common.map_texts(df, id_col, text_col, "spans array<struct<kind:string,start:bigint,end:bigint>>", work)
 
 
-def mask_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """id, text with each maximal union of overlapping spans replaced by mark (null texts come back empty), n_masked."""
+def masked(text: bytes, spans: list[tuple[int, int, int]], mark: str) -> tuple[str, int]:
+    """The text with each union of overlapping spans replaced by mark, and how many there were."""
+    joined: list[list[int]] = []
+    for s, _, e in spans:
+        if joined and s < joined[-1][1]:
+            joined[-1][1] = max(e, joined[-1][1])
+        else:
+            joined.append([s, e])
+    t, parts, at = text.decode("utf-8", "replace"), [], 0
+    for s, e in joined:
+        parts += [t[at:s], mark]
+        at = e
+    return "".join([*parts, t[at:]]), len(joined)
+
+
+def mask_secrets(df: DataFrame, keep: str | list[str] = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+    """The kept columns, masked_text (null texts come back empty), n_masked."""
 
     def work(texts):
-        out, n = [], []
-        for b, spans in zip(texts, scan(texts, rules), strict=True):
-            joined: list[list[int]] = []
-            for s, _, e in spans:
-                if joined and s < joined[-1][1]:
-                    joined[-1][1] = max(e, joined[-1][1])
-                else:
-                    joined.append([s, e])
-            if joined:
-                t, parts, at = b.decode("utf-8", "replace"), [], 0
-                for s, e in joined:
-                    parts += [t[at:s], mark]
-                    at = e
-                b = "".join([*parts, t[at:]]).encode()
-            out.append(b)
-            n.append(len(joined))
-        return [[x.decode("utf-8", "replace") for x in out], n]
-
-    return common.map_texts(df, id_col, text_col, "text string, n_masked bigint", work)
+        found = [masked(t, s, mark) for t, s in zip(texts, scan(texts, rules), strict=True)]
+        return [[x[0] for x in found], [x[1] for x in found]]
+
+    return common.map_texts(df, keep, text_col, "masked_text string, n_masked bigint", work)
 
 
 def _digest(kinds: dict[str, int]):

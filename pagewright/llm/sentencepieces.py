@@ -246,30 +246,24 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     model = model or default_model()
     if chunk_chars < 64:
         raise ValueError("chunks must have 64 characters at least")
-    src = common.id_and_text(df, id_col, text_col).withColumn("doc_row", F.monotonically_increasing_id())
+    src = common.with_text(df, [id_col], text_col).withColumn("doc_row", F.monotonically_increasing_id())
     fields = "doc_row bigint, chunk int, ids array<int>"
-    schema = common.out_schema(src, id_col, fields)
-    chunk_schema = common.out_schema(src, id_col, "doc_row bigint, chunk int, " + _CHUNK)
+    schema = common.out_schema(src, [id_col], fields)
+    chunk_schema = common.out_schema(src, [id_col], "doc_row bigint, chunk int, " + _CHUNK)
 
     def short(batches):
         lib = pieces(model).lib
-        for batch in batches:
-            at = 0
-            for ids, texts in common.slices([batch]):
-                yield common.arrow_batch(schema, [ids, batch.column(2).slice(at, len(ids)), [0] * len(ids), lib.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)])
-                at += len(ids)
+        for piece, texts in common.slices(batches):
+            found = lib.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)
+            yield common.arrow_batch(schema, [piece.column(id_col), piece.column("doc_row"), [0] * len(piece), found])
 
     def split(batches):
         p = pieces(model)
-        for batch in batches:
-            at = 0
-            for ids, texts in common.slices([batch]):
-                for i, t in enumerate(texts):
-                    parts = cut_up(normalised(t.decode("utf-8", "replace")), p.longest, chunk_chars)
-                    n = len(parts)
-                    take = pa.array([i] * n, type=pa.int64())
-                    yield common.arrow_batch(chunk_schema, [ids.take(take), batch.column(2).slice(at, len(ids)).take(take), list(range(n)), *map(list, zip(*parts, strict=True))])
-                at += len(ids)
+        for piece, texts in common.slices(batches):
+            for i, t in enumerate(texts):
+                parts = cut_up(normalised(t.decode("utf-8", "replace")), p.longest, chunk_chars)
+                take = pa.array([i] * len(parts), type=pa.int64())
+                yield common.arrow_batch(chunk_schema, [piece.column(id_col).take(take), piece.column("doc_row").take(take), list(range(len(parts))), *map(list, zip(*parts, strict=True))])
 
     def rows_of(batch):
         names = ("piece", "low", "high", "first", "last")
@@ -312,7 +306,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: s
     """id, text; null ids count as none and give the empty text."""
     model = model or default_model()
     src = df.select(F.col(id_col), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
-    schema = common.out_schema(src, id_col, "text string")
+    schema = common.out_schema(src, [id_col], "text string")
 
     def run(batches):
         lib = pieces(model).lib
