@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .jpeg import op5_progressive_jpeg
 from .licenses import op2_license_scan
+from .neighbours import op8_nn_descent
 from .packing import op9_pack_ffd
 from .quality import op7_quality
 from .secrets import op10_secret_scan
@@ -12,5 +13,5 @@ from .simhash import op1_simhash
 from .toxicity import op6_toxicity
 from .warc import op4_warc
 
-QUERIES = {q.__name__: q for q in (op1_simhash, op2_license_scan, op3_sentencepiece, op4_warc, op5_progressive_jpeg, op6_toxicity, op7_quality, op9_pack_ffd, op10_secret_scan)}
+QUERIES = {q.__name__: q for q in (op1_simhash, op2_license_scan, op3_sentencepiece, op4_warc, op5_progressive_jpeg, op6_toxicity, op7_quality, op8_nn_descent, op9_pack_ffd, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}

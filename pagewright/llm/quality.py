@@ -113,8 +113,8 @@ class Voter:
         return np.clip(np.divide((weight * self.y[near]).sum(axis=1), total, out=np.zeros(len(texts)), where=total > 0), 0, 1)
 
 
-def scores(df: DataFrame, model: bytes, keep: str | list[str] = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept columns and score, the weighted share of neighbours with label 1."""
+def scores(df: DataFrame, model: bytes, keep: str | list[str] = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
+    """The kept columns and the score under this name, the weighted share of neighbours with label 1."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     held: list[Voter] = []
 
@@ -123,7 +123,7 @@ def scores(df: DataFrame, model: bytes, keep: str | list[str] = "doc_id", text_c
             held.append(Voter(sent.value))
         return [held[0].score(texts)]
 
-    return common.map_texts(df, keep, text_col, "score double", work, 1 << 20, ROWS_AT_ONCE)
+    return common.map_texts(df, keep, text_col, f"`{name}` double", work, 1 << 20, ROWS_AT_ONCE)
 
 
 def fit_on(spark: SparkSession, sf_dir: str, s: Settings = SETTINGS) -> bytes:

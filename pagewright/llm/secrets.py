@@ -227,14 +227,14 @@ def masked(text: bytes, spans: list[tuple[int, int, int]], mark: str) -> tuple[s
     return "".join([*parts, t[at:]]), len(joined)
 
 
-def mask_secrets(df: DataFrame, keep: str | list[str] = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """The kept columns, masked_text (null texts come back empty), n_masked."""
+def mask_secrets(df: DataFrame, keep: str | list[str] = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[secret]", names: tuple[str, str] = ("masked_text", "n_masked")) -> DataFrame:
+    """The kept columns, the masked text (null texts come back empty) and the number of marks, under these names."""
 
     def work(texts):
         found = [masked(t, s, mark) for t, s in zip(texts, scan(texts, rules), strict=True)]
         return [[x[0] for x in found], [x[1] for x in found]]
 
-    return common.map_texts(df, keep, text_col, "masked_text string, n_masked bigint", work)
+    return common.map_texts(df, keep, text_col, f"`{names[0]}` string, `{names[1]}` bigint", work)
 
 
 def _digest(kinds: dict[str, int]):

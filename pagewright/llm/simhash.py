@@ -7,6 +7,12 @@ at most 65 of 64 bits (half radius 1), however many documents there are, and
 copies never meet: they have one fingerprint. Each bucket links its members to
 its smallest one; links are deduplicated and verified, and components follow.
 
+Wide fingerprints (similar_groups) serve a similarity as low as 0.8, at which
+64 bits differ in far more than 2 places: several 32-bit blocks of independent
+bits each emit their ball, and what collides in any block is verified on all
+bits: at similarity s of the shingle sets, the angle between the texts is
+acos(2s / (1 + s)), and bits differ in that share of a half turn.
+
 Defined cases: null text is the empty text; texts without a word have
 fingerprint zero and are linked like others; texts with fewer words than a
 shingle are one shingle; a group whose ids are all null has a null component.
@@ -14,6 +20,8 @@ shingle are one shingle; a group whose ids are all null has a null component.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .terms import mix
 
 SHINGLES_AT_ONCE = 1 << 17
 
@@ -95,6 +104,41 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(labels, "fp").select(id_col, "fp", "component_id")
 
 
+def wide_simhash(text: bytes, words: int, longs: int) -> list[int]:
+    """`longs` signed 64-bit fingerprints from independent bits of each shingle's hash."""
+    h = hashes(text, words).astype(np.uint64)
+    return [int(np.packbits(majority(mix(h + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(">u8"))).view(">i8")[0]) for j in range(longs)]
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 5) -> DataFrame:
+    """row (monotonically_increasing_id() of df), id, component: equal for the texts that links of at least `similarity` connect."""
+    rows = df.select(F.monotonically_increasing_id().alias("row"), id_col, text_col)
+    docs = common.stored(common.map_texts(rows, ["row", id_col], text_col, "fps array<bigint>", lambda texts: [[wide_simhash(t, words, longs) for t in texts]]), "wide")
+    kinds = common.stored(docs.groupBy("fps").agg(F.min("row").alias("kind")), "kinds")
+    blocks = [F.shiftrightunsigned(F.col("fps")[j], 32) if half else F.col("fps")[j].bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(longs) for half in (0, 1)]
+    numbered = [b.bitwiseOR(F.lit(i << 32)) for i, b in enumerate(blocks)]
+    variants = kinds.select("kind", F.explode(F.array(*numbered)).alias("block")).select("kind", F.explode(ball(F.col("block"), 32)).alias("variant"))
+    bucket = Window.partitionBy("variant")
+    met = variants.select(F.col("kind").alias("b"), F.min("kind").over(bucket).alias("least"), F.lag("kind").over(bucket.orderBy("kind")).alias("before")).where("b > least")
+    pairs = met.select("b", F.explode(F.array("least", "before")).alias("a")).distinct()
+    ends = lambda x: kinds.select(F.col("kind").alias(x), F.col("fps").alias(f"fps_{x}"))
+    differing = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = 64 * longs * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    links = pairs.join(ends("a"), "a").join(ends("b"), "b").where(differing <= most).select("a", "b")
+    linked = components(links).withColumnRenamed("node", "kind")
+    labels = common.stored(kinds.join(linked, "kind", "left").select("fps", F.coalesce("component", "kind").alias("component")), "labels")
+    return docs.join(labels, "fps").select("row", id_col, "component")
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of df, all columns, but of each group only the one with the smallest id (of repeated rows the first)."""
+    found = common.stored(similar_groups(df, id_col, text_col, words, similarity), "groups")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "row")).alias("first"))
+    kept = common.stored(first.select(F.col("first.row").alias("__row")), "kept")
+    dropped = common.stored(found.select(F.col("row").alias("__row")).join(kept, "__row", "left_anti"), "dropped")
+    return df.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -95,8 +95,8 @@ class Scorer:
         return sigmoid(self.bias + np.bincount(once >> self.bits, self.weight[once & ((1 << self.bits) - 1)], len(texts)))
 
 
-def scores(df: DataFrame, model: bytes, keep: str | list[str] = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept columns and score, the probability of label 1."""
+def scores(df: DataFrame, model: bytes, keep: str | list[str] = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
+    """The kept columns and the score under this name, the probability of label 1."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     held: list[Scorer] = []
 
@@ -105,7 +105,7 @@ def scores(df: DataFrame, model: bytes, keep: str | list[str] = "doc_id", text_c
             held.append(Scorer(sent.value))
         return [held[0].score(texts)]
 
-    return common.map_texts(df, keep, text_col, "score double", work, 1 << 20)
+    return common.map_texts(df, keep, text_col, f"`{name}` double", work, 1 << 20)
 
 
 def fit_on(spark: SparkSession, sf_dir: str, s: Settings = SETTINGS) -> bytes:
