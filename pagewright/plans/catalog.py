@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import retrieval  # noqa: F401  registers its plans
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "hybrid_search"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
