@@ -128,10 +128,10 @@ CASCADE_LEAST = 200
 
 def before_cascade(text: Column) -> Column:
     """The text before its earliest runaway repetition; null if it has none or under 200 characters."""
-    kept = [F.regexp_replace(text, f"(?s)^(.*?)(?-s:{p}).*$", "$1") for p in (c.replace("\\1", "\\2") for c in CASCADES)]
-    shortest = kept[0]
-    for k in kept[1:]:
-        shortest = F.when(F.length(k) < F.length(shortest), k).otherwise(shortest)
+    shortest = text
+    for pattern in CASCADES:
+        kept = F.call_function("substring_index", text, F.regexp_substr(text, F.lit(pattern)), F.lit(1))
+        shortest = F.when(F.length(kept) < F.length(shortest), kept).otherwise(shortest)
     return F.when((F.length(text) >= CASCADE_LEAST) & (F.length(shortest) < F.length(text)), shortest)
 
 

@@ -61,27 +61,27 @@ def ingest_report(spark, sf_dir):
     return ingest.report(ingest.triage(now, _old(spark, sf_dir)), now)
 
 
-_BITS = """b as (select vec_id id, list_sum(list_transform(embedding, lambda x, i: case when x > 0 and i < 64 then (1::hugeint << (i - 1)::int) else 0 end))::hugeint
- + case when embedding[64] > 0 then 9223372036854775808::hugeint else 0 end h from embeddings),
+_BITS = """b as (select vec_id id, list_sum(list_transform(embedding[1:16], lambda x, i: case when x > 0 then 1::bigint << (i - 1)::int else 0 end))::bigint h from embeddings),
 k as (select h, min(id) id from b group by h),
-p as (select x.id a, y.id b, bit_count(xor(x.h, y.h))::int d from k x join k y on x.id < y.id and bit_count(xor(x.h, y.h)) <= 12)"""
+p as (select x.id a, y.id b, bit_count(xor(x.h, y.h))::int d from k x join k y on x.id < y.id and bit_count(xor(x.h, y.h)) <= 2)"""
 
 
-def _hashes(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vector.sign_bits("embedding").alias("h"))
+def _pairs(spark, sf_dir):
+    """Sign bits of the first 16 components stand for perceptual hashes."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 16).alias("v"))
+    return joins.hamming_pairs(rows.select("id", vector.sign_bits("v").alias("h")), "h", distance=2, width=16)
 
 
 @query(f"with {_BITS} select a, b, d from p")
 def simhash_pairs(spark, sf_dir):
-    """Sign bits of the vectors stand for perceptual hashes."""
-    return joins.hamming_pairs(_hashes(spark, sf_dir), "h", distance=12)
+    return _pairs(spark, sf_dir)
 
 
 @query(f"""with recursive {_BITS}, e as (select a u, b v from p union all select b, a from p),
 r(n, c) as (select u, u from e union select e.v, r.c from r join e on e.u = r.n)
 select n node, min(c) component from r group by n""")
 def near_dup_components(spark, sf_dir):
-    return cluster.components(joins.hamming_pairs(_hashes(spark, sf_dir), "h", distance=12))
+    return cluster.components(_pairs(spark, sf_dir))
 
 
 @query("""select coalesce(source, 'total') source, count(*)::bigint total, count_if(toxic = 1)::bigint captioned, count_if(toxic = 0)::bigint blank, count_if(toxic is null)::bigint missing

@@ -10,23 +10,28 @@ from pyspark.sql import functions as F
 from ..operators import ingest
 
 
+def _marked(events: DataFrame, late: str | None) -> DataFrame:
+    """With a watermark, which needs times with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """start, event_type, n, value; late: watermark of a stream."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = _marked(events, late)
     found = rows.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
     return found.select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """user_id, start, stop, n."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = _marked(events, late)
     found = rows.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
     return found.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n")
 
 
 def first_of(events: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
     """One event for each key, within the watermark of a stream."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if late else events.dropDuplicates(keys)
+    return _marked(events, late).dropDuplicatesWithinWatermark(keys) if late else events.dropDuplicates(keys)
 
 
 def decoded(lines: DataFrame, schema: str, line: str = "line") -> DataFrame:
