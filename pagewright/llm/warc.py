@@ -12,7 +12,8 @@ the first offset behind the part that its chain leads to. Pointer jumping over
 these exits, from the start of each file, finds where each part is entered, so
 that a file of n parts takes about log n joins; a walk from there retains the
 reachable records. Pieces that are not reachable are payload and go back to the
-record that holds them.
+record that holds them. digests() sums payloads up where they are read, so that
+only records cut by a magic in their payload are shuffled with their bytes.
 
 Defined cases: a null payload is the empty payload; null ids are written as
 such and read back null; all rows with the largest id of a payload (repeated
@@ -22,9 +23,10 @@ ignored.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,11 +86,39 @@ def successor(value: bytes, at: int) -> int | None:
     return at + end + 8 + int(found[1]) if found else None
 
 
+_PAGE = re.compile(rb"urn:page:(-?\d+)>")
+
+
+def _field(head: bytes, name: bytes) -> bytes:
+    found = re.search(rb"(?im)^" + name + rb":[ \t]*([^\r\n]*)", head)
+    return found[1] if found else b""
+
+
+def summed_up(value: bytes) -> tuple:
+    """(page_id, type, refers_to_page, payload_bytes, payload_digest) of a record after its magic; revisits by their headers."""
+    head, _, rest = value.partition(b"\r\n\r\n")
+    block = rest[: int(_LENGTH.search(head)[1])]
+    http, _, payload = block.partition(b"\r\n\r\n")
+    page, refers = (_PAGE.search(_field(head, n)) for n in (b"warc-record-id", b"warc-refers-to"))
+    kind = _field(head, b"warc-type").decode("utf-8", "replace")
+    if kind == "response":
+        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    else:
+        length = _LENGTH.search(http)
+        size, digest = int(length[1]) if length else None, _field(head, b"warc-payload-digest").decode("utf-8", "replace").removeprefix("sha1:")
+    return int(page[1]) if page else None, kind, int(refers[1]) if refers else None, size, digest
+
+
+_SUMS = "page_id bigint, type string, refers_to_page bigint, payload_bytes bigint, payload_digest string"
 _PIECE = "file string, part bigint, place bigint, next bigint"
 
 
-def pieces(spark: SparkSession, path: str, whole: bool) -> DataFrame:
-    """Candidates by (file, part), place and next counted from the part's first byte; whole: with value, else with way_out and part_bytes.
+def pieces(spark: SparkSession, path: str, what: str) -> DataFrame:
+    """Candidates by (file, part), place and next counted from the part's first byte.
+
+    what: "values" for value; "sums" for complete and, of complete records, what
+    summed_up() gives; "chains" for way_out and part_bytes.
+
 
     place is that of the magic plus SIZE, so that the text before the first magic of a file stands at 0.
     """
@@ -126,6 +156,16 @@ def pieces(spark: SparkSession, path: str, whole: bool) -> DataFrame:
             n = len(places)
             yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([part] * n, pa.int64()), pa.array(places, pa.int64()), pa.array(nexts, pa.int64()), values], names=["file", "part", "place", "next", "value"])
 
+    def with_sums(batches):
+        for (file, part), place, values in parted(batches):
+            places, nexts, _ = numbered(values, place)
+            n, complete, sums = len(places), [], []
+            for v, at, after in zip(values, places, nexts, strict=True):
+                v = v.as_py()
+                complete.append(after is not None and after <= at + len(v) + 2 * SIZE)
+                sums.append(summed_up(v) if complete[-1] else (None,) * 5)
+            yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([part] * n, pa.int64()), pa.array(places, pa.int64()), pa.array(nexts, pa.int64()), pa.array(complete), *(pa.array(c, t) for c, t in zip(zip(*sums, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["file", "part", "place", "next", "complete", "page_id", "type", "refers_to_page", "payload_bytes", "payload_digest"])
+
     def chains(batches):
         held: dict = {}
         now = None
@@ -152,12 +192,13 @@ def pieces(spark: SparkSession, path: str, whole: bool) -> DataFrame:
         cols = [pa.array([key[0]] * n), pa.array([key[1]] * n, pa.int64()), pa.array(held["places"], pa.int64()), pa.array(held["nexts"], pa.int64()), pa.array([out[p] for p in held["places"]], pa.int64()), pa.array([held["end"]] * n, pa.int64())]
         return pa.RecordBatch.from_arrays(cols, names=["file", "part", "place", "next", "way_out", "part_bytes"])
 
-    return raw.mapInArrow(with_value, _PIECE + ", value binary") if whole else raw.mapInArrow(chains, _PIECE + ", way_out bigint, part_bytes bigint")
+    run, more = {"values": (with_value, "value binary"), "sums": (with_sums, f"complete boolean, {_SUMS}"), "chains": (chains, "way_out bigint, part_bytes bigint")}[what]
+    return raw.mapInArrow(run, f"{_PIECE}, {more}")
 
 
 def reachable(spark: SparkSession, path: str) -> DataFrame:
     """(file, part, place, start): the records that the chain from each file's start leads to; start counts from the file's first byte, plus SIZE."""
-    found = common.stored(pieces(spark, path, False), "candidates")
+    found = common.stored(pieces(spark, path, "chains"), "candidates")
     parts = found.groupBy("file", "part").agg(F.max("part_bytes").alias("bytes"))
     before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("file", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
@@ -193,22 +234,40 @@ def reachable(spark: SparkSession, path: str) -> DataFrame:
     return found.select("file", "part", "place", "next").join(doors, ["file", "part"]).groupBy("file", "part").applyInArrow(lambda t: walk(t), "file string, part bigint, place bigint, start bigint")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """type, record_id, refers_to, uri, digest, http_length, payload (null for revisits) of the records of the archives under path."""
-    chain = common.stored(reachable(spark, path), "chain")
-    all_pieces = pieces(spark, path, True)
-    keys = ["file", "part", "place"]
-    joined = all_pieces.join(chain.withColumn("real", F.lit(True)), keys, "left")
+KEYS = ["file", "part", "place"]
+
+
+def mended(spark: SparkSession, path: str, chain: DataFrame) -> DataFrame:
+    """(value): the reachable records that a magic in their payload cuts, put together again."""
+    joined = pieces(spark, path, "values").join(chain.withColumn("real", F.lit(True)), KEYS, "left")
     known = F.coalesce(F.col("real"), F.lit(False))
-    size = F.col("place") + SIZE + F.octet_length("value")
-    whole = joined.where(known & (F.col("next") <= size + SIZE)).select("value")
-    # The others: records cut by a magic in their payload, and the pieces that belong to them.
-    cut = common.stored(joined.where(~known | (F.col("next") > size + SIZE)).select(*keys, known.alias("real"), "value"), "cut")
+    cut = common.stored(joined.where(~known | (F.col("next") > F.col("place") + F.octet_length("value") + 2 * SIZE)).select(*KEYS, known.alias("real"), "value"), "cut")
     order = Window.partitionBy("file").orderBy("part", "place")
     owned = cut.withColumn("owner", F.last(F.when(F.col("real"), F.struct("part", "place")), ignorenulls=True).over(order)).where("owner is not null")
     text = F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "real", "value"))), lambda x: F.when(x["real"], x["value"]).otherwise(F.concat(F.lit(MAGIC.encode()), x["value"])))
-    mended = owned.groupBy("file", "owner").agg(F.aggregate(text, F.lit(b""), lambda a, b: F.concat(a, b)).alias("value")).select("value")
-    return parsed(whole.unionByName(mended))
+    return owned.groupBy("file", "owner").agg(F.aggregate(text, F.lit(b""), lambda a, b: F.concat(a, b)).alias("value")).select("value")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, type, refers_to_page, record_id, refers_to, uri, digest, http_length, payload (null for revisits) of the records under path."""
+    chain = common.stored(reachable(spark, path), "chain")
+    found = pieces(spark, path, "values").join(chain, KEYS)
+    whole = found.where(F.col("next") <= F.col("place") + F.octet_length("value") + 2 * SIZE).select("value")
+    return parsed(whole.unionByName(mended(spark, path, chain)))
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, type, refers_to_page, payload_bytes, payload_digest of the records under path, without their payloads."""
+    chain = common.stored(reachable(spark, path), "chain")
+    found = common.stored(pieces(spark, path, "sums").join(chain, KEYS), "sums")
+    names = [f.split()[0] for f in _SUMS.split(", ")]
+    whole = found.where("complete").select(*names)
+    if not found.where("not complete").limit(1).count():
+        return whole
+    rest = parsed(mended(spark, path, chain))
+    size = F.coalesce(F.octet_length("payload").cast("bigint"), F.col("http_length"))
+    digest = F.when(F.col("payload").isNotNull(), sha1_base32(F.col("payload"))).otherwise(F.col("digest"))
+    return whole.unionByName(rest.select("page_id", "type", "refers_to_page", size.alias("payload_bytes"), digest.alias("payload_digest")))
 
 
 def parsed(found: DataFrame) -> DataFrame:
@@ -228,11 +287,4 @@ def parsed(found: DataFrame) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "warc")
     write(records(common.table(spark, sf_dir, "pages")), path)
-    found = read(spark, path)
-    return found.select(
-        "page_id",
-        F.coalesce(F.octet_length("payload").cast("bigint"), F.col("http_length")).alias("payload_bytes"),
-        F.when(F.col("payload").isNotNull(), sha1_base32(F.col("payload"))).otherwise(F.col("digest")).alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        F.col("refers_to_page").alias("refers_to"),
-    )
+    return digests(spark, path).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
