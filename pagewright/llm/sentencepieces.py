@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 CHUNK_CHARS = 1 << 14
+ROWS_AT_ONCE = 256
 SPACE = "▁"
 
 
@@ -253,7 +254,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     def short(batches):
         lib = pieces(model).lib
-        for piece, texts in common.slices(batches):
+        for piece, texts in common.slices(batches, 1 << 20):
             found = lib.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)
             yield common.arrow_batch(schema, [piece.column(id_col), piece.column("doc_row"), [0] * len(piece), found])
 
@@ -311,7 +312,9 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: s
     def run(batches):
         lib = pieces(model).lib
         for batch in batches:
-            yield common.arrow_batch(schema, [batch.column(0), [lib.decode(x) for x in batch.column(1).to_pylist()]])
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                yield common.arrow_batch(schema, [part.column(0), [lib.decode(x.as_py()) for x in part.column(1)]])
 
     return src.mapInArrow(run, schema)
 
