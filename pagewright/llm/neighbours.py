@@ -33,15 +33,15 @@ from . import common
 class Settings:
     """degree: neighbours kept; leaves: forests of the start; leaf: most nodes of a leaf; offers: of one introduction, kept for a node."""
 
-    degree: int = 14
-    leaves: int = 4
-    leaf: int = 200
-    offers: int = 5
-    rounds: int = 7
-    enough: float = 0.005
+    degree: int = 20
+    leaves: int = 12
+    leaf: int = 1000
+    offers: int = 16
+    rounds: int = 3
+    enough: float = 0.01
     pivots: int = 512
-    beam: int = 64
-    expand: int = 12
+    beam: int = 384
+    expand: int = 96
     hops: int = 24
 
 
@@ -119,7 +119,7 @@ def first_edges(vectors: DataFrame, count: int, s: Settings) -> DataFrame:
 def introduced(known: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
     """Pairs of neighbours of one node that are closer than the first one's farthest neighbour."""
     worst = known.groupBy("node").agg(F.when(F.count("*") >= s.degree, F.max("d")).otherwise(float("inf")).alias("worst"))
-    back = nearest(known.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "d"), s.degree)
+    back = nearest(known.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "d"), s.degree // 2)
     near = known.select("node", "nbr").union(back.select("node", "nbr")).distinct()
     guests = vectors.select(F.col("node").alias("nbr"), "vec").join(worst.withColumnRenamed("node", "nbr"), "nbr")
     met = near.join(guests, "nbr").select("node", "nbr", "worst", "vec").repartition("node").sortWithinPartitions("node")
