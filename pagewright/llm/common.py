@@ -12,8 +12,6 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,50 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import dropped, shared_path, stored  # noqa: F401
+from ..sources.tables import table  # noqa: F401
+
 #: Bytes of text that a Python worker expands at once.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pagewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/pagewright/{kind}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by stored(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if "/pagewright/" in path.toString():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def with_text(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """The kept columns, then the text (null: empty) as __text."""
     return df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def out_schema(df: DataFrame, keep: list[str], fields: str) -> T.StructType:
     """The kept fields as df has them, then the fields of a DDL string."""
     return T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + T.StructType.fromDDL(fields).fields)

@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.cluster import components
 from . import common
-from .components import components
 from .terms import mix
 
 SHINGLES_AT_ONCE = 1 << 17
+#: Differing bits of 64 from which two texts of one bucket can't well be near-duplicates.
+LOOKS_UNLIKE = 20
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -117,10 +119,12 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = common.stored(docs.groupBy("fps").agg(F.min("row").alias("kind")), "kinds")
     blocks = [F.shiftrightunsigned(F.col("fps")[j], 32) if half else F.col("fps")[j].bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(longs) for half in (0, 1)]
     numbered = [b.bitwiseOR(F.lit(i << 32)) for i, b in enumerate(blocks)]
-    variants = kinds.select("kind", F.explode(F.array(*numbered)).alias("block")).select("kind", F.explode(ball(F.col("block"), 32)).alias("variant"))
-    bucket = Window.partitionBy("variant")
-    met = variants.select(F.col("kind").alias("b"), F.min("kind").over(bucket).alias("least"), F.lag("kind").over(bucket.orderBy("kind")).alias("before")).where("b > least")
-    pairs = met.select("b", F.explode(F.array("least", "before")).alias("a")).distinct()
+    variants = kinds.select("kind", F.col("fps")[0].alias("look"), F.explode(F.array(*numbered)).alias("block")).select("kind", "look", F.explode(ball(F.col("block"), 32)).alias("variant"))
+    # A bucket's members link to its first one, and those that don't look like it also to the one before them.
+    bucket = Window.partitionBy("variant").orderBy("kind")
+    unlike = F.bit_count(F.col("look").bitwiseXOR(F.first("look").over(bucket))) > LOOKS_UNLIKE
+    met = variants.select(F.col("kind").alias("b"), F.first("kind").over(bucket).alias("least"), F.when(unlike, F.lag("kind").over(bucket)).alias("before")).where("b > least")
+    pairs = met.select("b", F.explode(F.array("least", "before")).alias("a")).where("a is not null").distinct()
     ends = lambda x: kinds.select(F.col("kind").alias(x), F.col("fps").alias(f"fps_{x}"))
     differing = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = 64 * longs * math.acos(2 * similarity / (1 + similarity)) / math.pi
