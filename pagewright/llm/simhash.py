@@ -113,8 +113,18 @@ def wide_simhash(text: bytes, words: int, longs: int) -> list[int]:
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 5) -> DataFrame:
-    """row (monotonically_increasing_id() of df), id, component: equal for the texts that links of at least `similarity` connect."""
-    rows = df.select(F.monotonically_increasing_id().alias("row"), id_col, text_col)
+    """row (a number of each row), id, component: equal for the texts that links of at least `similarity` connect."""
+    return groups_of(numbered(df.select(id_col, text_col)), id_col, text_col, words, similarity, longs)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df and __row, written once: the numbers follow how Spark cuts the input, which may differ between two scans."""
+    return common.stored(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def groups_of(source: DataFrame, id_col: str, text_col: str, words: int, similarity: float, longs: int = 5) -> DataFrame:
+    """similar_groups() of rows that numbered() wrote."""
+    rows = source.select(F.col("__row").alias("row"), id_col, text_col)
     docs = common.stored(common.map_texts(rows, ["row", id_col], text_col, "fps array<bigint>", lambda texts: [[wide_simhash(t, words, longs) for t in texts]]), "wide")
     kinds = common.stored(docs.groupBy("fps").agg(F.min("row").alias("kind")), "kinds")
     blocks = [F.shiftrightunsigned(F.col("fps")[j], 32) if half else F.col("fps")[j].bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(longs) for half in (0, 1)]
@@ -136,11 +146,12 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df, all columns, but of each group only the one with the smallest id (of repeated rows the first)."""
-    found = common.stored(similar_groups(df, id_col, text_col, words, similarity), "groups")
+    rows = numbered(df)
+    found = common.stored(groups_of(rows, id_col, text_col, words, similarity), "groups")
     first = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "row")).alias("first"))
     kept = common.stored(first.select(F.col("first.row").alias("__row")), "kept")
     dropped = common.stored(found.select(F.col("row").alias("__row")).join(kept, "__row", "left_anti"), "dropped")
-    return df.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")
+    return rows.join(dropped, "__row", "left_anti").drop("__row")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,23 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept >= {10 * i for i in range(40)} and len(kept & copies) <= 2
 
 
+def test_rows_keep_their_numbers_when_the_input_is_cut_anew(spark, tmp_path):
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    for n in range(4):
+        rows = [(i, texts[i % 40]) for i in range(20 * n, 20 * n + 20)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    was = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[1], "1")
+        found = simhash.without_near_duplicates(spark.read.parquet(f"{tmp_path}/docs"))
+        spark.conf.set(names[0], "2k")
+        assert sorted(r.doc_id for r in found.collect()) == list(range(40))
+    finally:
+        for n, v in zip(names, was, strict=True):
+            spark.conf.set(n, v)
+
+
 # 2 Licenses
 
 
