@@ -7,22 +7,23 @@ at most 65 of 64 bits (half radius 1), however many documents there are, and
 copies never meet: they have one fingerprint. Each bucket links its members to
 its smallest one; links are deduplicated and verified, and components follow.
 
-Wide fingerprints (similar_groups) serve a similarity as low as 0.8, at which
-64 bits differ in far more than 2 places: several 32-bit blocks of independent
-bits each emit their ball, and what collides in any block is verified on all
-bits: at similarity s of the shingle sets, the angle between the texts is
-acos(2s / (1 + s)), and bits differ in that share of a half turn.
+A similarity as low as 0.8 (similar_groups) is beyond any ball: 64 bits differ
+in about ten places. There, bands of least hashes of the shingles (MinHash)
+find the candidates, and their sets of shingles are compared on the texts.
 
 Defined cases: null text is the empty text; texts without a word have
-fingerprint zero and are linked like others; texts with fewer words than a
+fingerprint zero and are linked like others (their sets of shingles count as
+equal); texts with fewer words than a
 shingle are one shingle; a group whose ids are all null has a null component.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,18 @@ from . import common
 from .terms import mix
 
 SHINGLES_AT_ONCE = 1 << 17
-#: Differing bits of 64 from which two texts of one bucket can't well be near-duplicates.
-LOOKS_UNLIKE = 20
+#: A pair of similarity 0.8 shares none of 24 bands of 4 least hashes with probability 3e-6.
+BANDS, ROWS = 24, 4
+FACTORS = np.random.default_rng(80).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+SUMMANDS = np.random.default_rng(81).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+#: Bytes of text sketched at once, so that the hashes stay in the processor's cache.
+SKETCHED_BYTES = 1 << 19
+
+
+def least_equal(similarity: float) -> int:
+    """Equal least hashes below which a pair isn't verified: the mean less four standard deviations."""
+    n = BANDS * ROWS
+    return math.floor(n * similarity - 4 * math.sqrt(n * similarity * (1 - similarity)))
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -106,15 +117,56 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(labels, "fp").select(id_col, "fp", "component_id")
 
 
-def wide_simhash(text: bytes, words: int, longs: int) -> list[int]:
-    """`longs` signed 64-bit fingerprints from independent bits of each shingle's hash."""
-    h = hashes(text, words).astype(np.uint64)
-    return [int(np.packbits(majority(mix(h + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(">u8"))).view(">i8")[0]) for j in range(longs)]
+def sketches(texts: list[bytes], words: int) -> list[list]:
+    """Columns key (a digest of the set of shingles), bands and sketch (least hashes) of each text; a text without a word has the set of the one hash 0."""
+    sets = [np.unique(h) if len(h := hashes(t, words).astype(np.uint64)) else np.zeros(1, np.uint64) for t in texts]
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    h = mix(np.concatenate(sets))
+    least = np.empty((len(texts), len(FACTORS)), np.uint32)
+    for j, factor in enumerate(FACTORS):
+        least[:, j] = np.minimum.reduceat(mix(h * factor + SUMMANDS[j]), starts) & np.uint64(0xFFFFFFFF)
+    digest = xxhash.xxh64_intdigest
+    bands = [[int(np.int64(np.uint64(digest(row[ROWS * i : ROWS * (i + 1)].tobytes(), i)))) for i in range(BANDS)] for row in least]
+    return [[hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], bands, [row.tobytes() for row in least]]
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have at least that Jaccard similarity; texts: kind, __text."""
+    ends = lambda x: texts.select(F.col("kind").alias(x), F.col("__text").cast("binary").alias(f"text_{x}"))
+
+    def similar(batches):
+        held, first = None, set()
+        for batch in batches:
+            a, b, text_a, text_b = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
+            kept = []
+            for i in range(len(batch)):
+                if a[i].as_py() != held:
+                    held, first = a[i].as_py(), set(shingles(text_a[i].as_py(), words))
+                other = set(shingles(text_b[i].as_py(), words))
+                met = len(first & other)
+                if met >= similarity * (len(first) + len(other) - met):
+                    kept.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return pairs.join(ends("b"), "b").join(ends("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a bigint, b bigint")
+
+
+def links_of(kinds: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): verified links that keep every component of the pairs which share a band. kinds: kind, bands, sketch.
+
+    Each bucket's members are held against its first one.
+    """
+    bucket = Window.partitionBy("bucket")
+    each = kinds.select("kind", F.explode("bands").alias("bucket"))
+    members = common.stored(each.withColumn("first", F.min("kind").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("n > 1").drop("n"), "members")
+    stars = members.where("kind > first").select(F.col("first").alias("a"), F.col("kind").alias("b")).distinct()
+    links = common.stored(verified(stars, texts, words, similarity), "stars")
+    return links
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 5) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """row (a number of each row), id, component: equal for the texts that links of at least `similarity` connect."""
-    return groups_of(numbered(df.select(id_col, text_col)), id_col, text_col, words, similarity, longs)
+    return groups_of(numbered(df.select(id_col, text_col)), id_col, text_col, words, similarity)
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -122,26 +174,16 @@ def numbered(df: DataFrame) -> DataFrame:
     return common.stored(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
 
-def groups_of(source: DataFrame, id_col: str, text_col: str, words: int, similarity: float, longs: int = 5) -> DataFrame:
+def groups_of(source: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """similar_groups() of rows that numbered() wrote."""
     rows = source.select(F.col("__row").alias("row"), id_col, text_col)
-    docs = common.stored(common.map_texts(rows, ["row", id_col], text_col, "fps array<bigint>", lambda texts: [[wide_simhash(t, words, longs) for t in texts]]), "wide")
-    kinds = common.stored(docs.groupBy("fps").agg(F.min("row").alias("kind")), "kinds")
-    blocks = [F.shiftrightunsigned(F.col("fps")[j], 32) if half else F.col("fps")[j].bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(longs) for half in (0, 1)]
-    numbered = [b.bitwiseOR(F.lit(i << 32)) for i, b in enumerate(blocks)]
-    variants = kinds.select("kind", F.col("fps")[0].alias("look"), F.explode(F.array(*numbered)).alias("block")).select("kind", "look", F.explode(ball(F.col("block"), 32)).alias("variant"))
-    # A bucket's members link to its first one, and those that don't look like it also to the one before them.
-    bucket = Window.partitionBy("variant").orderBy("kind")
-    unlike = F.bit_count(F.col("look").bitwiseXOR(F.first("look").over(bucket))) > LOOKS_UNLIKE
-    met = variants.select(F.col("kind").alias("b"), F.first("kind").over(bucket).alias("least"), F.when(unlike, F.lag("kind").over(bucket)).alias("before")).where("b > least")
-    pairs = met.select("b", F.explode(F.array("least", "before")).alias("a")).where("a is not null").distinct()
-    ends = lambda x: kinds.select(F.col("kind").alias(x), F.col("fps").alias(f"fps_{x}"))
-    differing = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    most = 64 * longs * math.acos(2 * similarity / (1 + similarity)) / math.pi
-    links = pairs.join(ends("a"), "a").join(ends("b"), "b").where(differing <= most).select("a", "b")
-    linked = components(links).withColumnRenamed("node", "kind")
-    labels = common.stored(kinds.join(linked, "kind", "left").select("fps", F.coalesce("component", "kind").alias("component")), "labels")
-    return docs.join(labels, "fps").select("row", id_col, "component")
+    work = lambda texts: sketches(texts, words)
+    docs = common.stored(common.map_texts(rows, ["row", id_col], text_col, "key binary, bands array<bigint>, sketch binary", work, SKETCHED_BYTES), "sketches")
+    kinds = common.stored(docs.groupBy("key").agg(F.min(F.struct("row", "bands", "sketch")).alias("x")).select("key", F.col("x.row").alias("kind"), "x.bands", "x.sketch"), "kinds")
+    texts = common.with_text(source, ["__row"], text_col).withColumnRenamed("__row", "kind")
+    linked = components(links_of(kinds, texts, words, similarity)).withColumnRenamed("node", "kind")
+    labels = common.stored(kinds.join(linked, "kind", "left").select("key", F.coalesce("component", "kind").alias("component")), "labels")
+    return docs.join(labels, "key").select("row", id_col, "component")
 
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -103,6 +103,28 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept >= {10 * i for i in range(40)} and len(kept & copies) <= 2
 
 
+def altered(rng, words, share):
+    return [f"n{rng.integers(0, 1 << 40)}" if x < share else w for w, x in zip(words, rng.random(len(words)), strict=True)]
+
+
+def test_groups_at_the_threshold_match_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows += [" ".join(w)] + [" ".join(altered(rng, w, x)) for x in rng.uniform(0.01, 0.04, 4)]
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in rows]
+    root = list(range(len(rows)))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if (n := len(sets[a] & sets[b])) >= 0.8 * len(sets[a] | sets[b]) and n]
+    for a, b in pairs:
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    near = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs]
+    assert sum(x < 0.84 for x in near) >= 30 and len(set(root)) > 70
+    kept = simhash.without_near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(root)
+
+
 def test_rows_keep_their_numbers_when_the_input_is_cut_anew(spark, tmp_path):
     texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
     for n in range(4):
