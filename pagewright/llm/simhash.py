@@ -154,13 +154,33 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 def links_of(kinds: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): verified links that keep every component of the pairs which share a band. kinds: kind, bands, sketch.
 
-    Each bucket's members are held against its first one.
+    Each bucket's members are held against its first one. Members that are then
+    still in different components are held against each other, all of them:
+    their sketches first, and what those don't rule out on the texts.
     """
     bucket = Window.partitionBy("bucket")
     each = kinds.select("kind", F.explode("bands").alias("bucket"))
     members = common.stored(each.withColumn("first", F.min("kind").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("n > 1").drop("n"), "members")
     stars = members.where("kind > first").select(F.col("first").alias("a"), F.col("kind").alias("b")).distinct()
     links = common.stored(verified(stars, texts, words, similarity), "stars")
+    placed = members.where("kind > first").join(components(links).withColumnRenamed("node", "kind"), "kind", "left").withColumn("component", F.coalesce("component", "kind"))
+    apart = placed.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low < high")
+    apart = apart.join(kinds.select("kind", "sketch"), "kind").select("bucket", "kind", "component", "sketch")
+    least = least_equal(similarity)
+
+    def meet(table):
+        kind, part = table.column("kind").to_numpy(), table.column("component").to_numpy()
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(len(kind), -1)
+        a, b = [], []
+        for i in range(len(kind) - 1):
+            later = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+            like = later[(sketch[later] == sketch[i]).sum(axis=1) >= least]
+            a.append(np.minimum(kind[like], kind[i]))
+            b.append(np.maximum(kind[like], kind[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    rest = common.stored(apart.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct(), "rest")
+    links = links.unionByName(common.stored(verified(rest, texts, words, similarity), "others"))
     return links
 
 

@@ -125,6 +125,18 @@ def test_groups_at_the_threshold_match_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(root)
 
 
+def test_all_members_of_a_bucket_meet(spark):
+    """Two near-duplicates, unlike the bucket's first member and with an unlike one between them."""
+    rng = np.random.default_rng(13)
+    w = [[f"w{x}" for x in rng.integers(0, 5000, 300)] for _ in range(2)]
+    texts = [w[0][:150] + w[1][150:], w[1], w[0], altered(rng, w[1], 0.01)]
+    texts = [" ".join(t) for t in texts]
+    sketch = simhash.sketches([t.encode() for t in texts], 5)[2]
+    kinds = spark.createDataFrame([(i, [7], bytearray(x)) for i, x in enumerate(sketch)], "kind long, bands array<bigint>, sketch binary")
+    found = simhash.links_of(kinds, spark.createDataFrame(list(enumerate(texts)), "kind long, __text string"), 5, 0.8)
+    assert {tuple(r) for r in found.collect()} == {(1, 3)}
+
+
 def test_rows_keep_their_numbers_when_the_input_is_cut_anew(spark, tmp_path):
     texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
     for n in range(4):
