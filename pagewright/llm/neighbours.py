@@ -19,6 +19,7 @@ tables give empty results.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,14 +32,14 @@ from . import common
 
 @dataclass(frozen=True)
 class Settings:
-    """degree: neighbours kept; leaves: forests of the start; leaf: most nodes of a leaf; offers: of one introduction, kept for a node."""
+    """degree: neighbours kept; leaves: forests of the start; leaf: most nodes of a leaf; offers: of one introduction, kept for a node; rounds: beyond which it is an error not to have converged; pivots: at least, as they grow with the root of the table."""
 
     degree: int = 20
     leaves: int = 12
     leaf: int = 1000
     offers: int = 16
-    rounds: int = 3
-    enough: float = 0.01
+    rounds: int = 100
+    enough: float = 0.005
     pivots: int = 512
     beam: int = 384
     expand: int = 96
@@ -46,6 +47,8 @@ class Settings:
 
 
 SETTINGS = Settings()
+#: Distances between guests that a task holds at once.
+MET_AT_ONCE = 1 << 20
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -119,8 +122,7 @@ def first_edges(vectors: DataFrame, count: int, s: Settings) -> DataFrame:
 def introduced(known: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
     """Pairs of neighbours of one node that are closer than the first one's farthest neighbour."""
     worst = known.groupBy("node").agg(F.when(F.count("*") >= s.degree, F.max("d")).otherwise(float("inf")).alias("worst"))
-    back = nearest(known.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "d"), s.degree // 2)
-    near = known.select("node", "nbr").union(back.select("node", "nbr")).distinct()
+    near = known.select("node", "nbr").union(known.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
     guests = vectors.select(F.col("node").alias("nbr"), "vec").join(worst.withColumnRenamed("node", "nbr"), "nbr")
     met = near.join(guests, "nbr").select("node", "nbr", "worst", "vec").repartition("node").sortWithinPartitions("node")
 
@@ -139,9 +141,29 @@ def introduced(known: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
     def blocks(table):
         host = table.column("node").to_numpy()
         edges = np.append(np.flatnonzero(np.diff(host, prepend=host[:1] - 1)), len(host))
-        for i in range(0, len(edges) - 1, 256):
-            j = min(i + 256, len(edges) - 1)
-            yield block(table.slice(edges[i], edges[j] - edges[i]).combine_chunks(), edges[i : j + 1] - edges[i])
+        sizes, i = np.diff(edges), 0
+        while i < len(sizes):
+            j = i + 1
+            while j < len(sizes) and (j + 1 - i) * int(sizes[i : j + 1].max()) ** 2 <= MET_AT_ONCE:
+                j += 1
+            part = table.slice(edges[i], edges[j] - edges[i]).combine_chunks()
+            if sizes[i] ** 2 > MET_AT_ONCE:
+                yield from hub(part)
+            else:
+                yield block(part, edges[i : j + 1] - edges[i])
+            i = j
+
+    def hub(table):
+        """block() for the one host of many guests, some guests at a time."""
+        guest, bound, x = table.column("nbr").to_numpy(), table.column("worst").to_numpy(), matrix(table.column("vec").combine_chunks())
+        n, k, step = (x * x).sum(axis=1), min(s.offers, len(guest)), max(1, MET_AT_ONCE // len(guest))
+        for i in range(0, len(guest), step):
+            d = np.maximum(n[i : i + step, None] + n[None, :] - 2 * (x[i : i + step] @ x.T), 0)
+            d[(guest[i : i + step, None] == guest[None, :]) | (d >= bound[i : i + step, None])] = np.inf
+            best = np.argpartition(d, k - 1, axis=1)[:, :k]
+            value = np.take_along_axis(d, best, axis=1)
+            a, b = np.nonzero(np.isfinite(value))
+            yield _rows(guest[i + a], guest[best[a, b]], value[a, b])
 
     def block(table, edges):
         sizes = np.diff(edges)
@@ -179,6 +201,8 @@ def build(vectors: DataFrame, s: Settings = SETTINGS) -> DataFrame:
         known = better.drop("new")
         if changed <= s.enough * count * s.degree:
             break
+    else:
+        raise RuntimeError(f"the graph still changes after {s.rounds} rounds")
     return known
 
 
@@ -190,7 +214,7 @@ def distance(a: str, b: str):
 def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """(query, node, d): the beam of each query (query, vec) at the end of the greedy search."""
     spark = vectors.sparkSession
-    sample = vectors.select("node", "vec").orderBy(F.xxhash64("node")).limit(s.pivots).collect()
+    sample = vectors.select("node", "vec").orderBy(F.xxhash64("node")).limit(max(s.pivots, 4 * math.isqrt(vectors.count()))).collect()
     ids, points = np.array([r[0] for r in sample], np.int64), np.array([r[1] for r in sample], np.float64)
     sent = spark.sparkContext.broadcast((ids, points))
 

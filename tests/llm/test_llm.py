@@ -344,6 +344,32 @@ def test_neighbours_recall_and_ties(spark):
     assert [got[230][r][0] for r in range(1, 11)] == list(range(200, 210))
 
 
+def test_all_reverse_neighbours_meet(spark, monkeypatch):
+    x = np.random.default_rng(14).standard_normal((61, 8)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vec array<float>")
+    known = spark.createDataFrame([(i, 0, float(((x[i] - x[0]) ** 2).sum())) for i in range(1, 61)], "node long, nbr long, d double")
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, 1 + int(j)) for i in range(1, 61) for j in np.argsort(d[i, 1:])[:16]}
+    for at_once in (1 << 20, 500):
+        monkeypatch.setattr(neighbours, "MET_AT_ONCE", at_once)
+        found = neighbours.introduced(known, vectors, neighbours.SETTINGS).where("node > 0").collect()
+        assert {(r.node, r.nbr) for r in found} == want
+
+
+def test_rounds_go_on_until_few_edges_change(spark):
+    x = np.random.default_rng(15).standard_normal((600, 8)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vec array<float>")
+    few = {"degree": 6, "leaves": 2, "leaf": 20, "offers": 6}
+    with pytest.raises(RuntimeError):
+        neighbours.build(vectors, neighbours.Settings(**few, rounds=1))
+    got = {(r.node, r.nbr) for r in neighbours.build(vectors, neighbours.Settings(**few)).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(600) for j in np.argsort(d[i])[:6]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 # 9 Packing
 
 
