@@ -72,30 +72,36 @@ def fast_encoder(path: str):
 
 
 @cache
-def encoder(path: str):
-    """text -> its ids as little-endian 32-bit bytes, without special tokens. One per worker process and vocabulary file."""
-    ids = fast_encoder(path)
-    if ids is None:
-        from tokenizers import Tokenizer
+def encoder(path: str, added: bool = False):
+    """text -> its ids as little-endian 32-bit bytes. One per worker process and vocabulary file.
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+    added: literals of the file's added tokens become those tokens, as the
+    library does by default; else they are spelled out.
+    """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = not added
+    fast = fast_encoder(path)
+    literals = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
 
-        def ids(text):
+    def ids(text):
+        if fast is None or any(x in text for x in literals):
             return tokenizer.encode(text, add_special_tokens=False).ids
+        return fast(text)
 
     return lambda text: np.array(ids(text), dtype="<u4").tobytes()
 
 
-def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = SEQUENCE, closing: int = 0) -> DataFrame:
-    """A row per piece: id, start, length, ids_crc32, doc_tokens and `deal`, the random number that deals it to a group."""
+def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = SEQUENCE, closing: int = 0, added: bool = False) -> DataFrame:
+    """A row per piece: id, start, length, ids_crc32, doc_tokens and `deal`, the random number that deals it to a group. added: as for encoder()."""
     path = tokenizer or default_tokenizer()
     src = common.with_text(df, [id_col], text_col).withColumn("__part", F.spark_partition_id())
     schema = common.out_schema(src, [id_col], "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, deal bigint")
     end = np.array([closing], dtype="<u4").tobytes()
 
     def run(batches):
-        encode, row = encoder(path), 0
+        encode, row = encoder(path, added), 0
         for piece, texts in common.slices(batches):
             part = piece.column("__part")[0].as_py()
             which, cols = [], ([], [], [], [], [])
@@ -162,4 +168,4 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = SEQUENCE, gr
 
 
 def op9_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(token_pieces(common.table(spark, sf_dir, "documents")))
+    return pack(token_pieces(common.table(spark, sf_dir, "documents"), added=True))

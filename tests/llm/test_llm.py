@@ -400,6 +400,17 @@ def test_pieces_cover_every_id_once(spark, documents):
     assert sum(r.length for r in got) / (1024 * len(by_sequence)) > 0.9
 
 
+def test_literals_of_added_tokens_become_those_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "a <|endoftext b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.op9_pack_ffd(spark, str(tmp_path)).collect()}
+    ids = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4") for i, t in rows}
+    assert 50256 in ids[1] and got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()}
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(9)
     for n in (0, 1, 7, 200):
