@@ -146,7 +146,7 @@ def pieces(spark: SparkSession, path: str, what: str) -> DataFrame:
         for v in values:
             v = v.as_py()
             places.append(at)
-            nexts.append(successor(v[: 1 << 16], at + SIZE))
+            nexts.append(successor(v, at + SIZE))
             at += len(v) + SIZE
         return places, nexts, at
 

@@ -249,6 +249,14 @@ def test_archives_with_magic_in_payloads(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
 
 
+def test_records_behind_a_long_header_are_found(spark, tmp_path):
+    rows = [(1, "a", "first"), (2, "data:," + "x" * 100_000, "second"), (3, "c", "third"), (4, "d", "fourth")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(warc.records(pages).orderBy("id").coalesce(1), f"{tmp_path}/long")
+    assert {(r.page_id, r.payload_bytes) for r in warc.digests(spark, f"{tmp_path}/long").collect()} == {(i, len(h)) for i, _, h in rows}
+    assert {r.page_id: r.uri for r in warc.read(spark, f"{tmp_path}/long").collect()} == {i: u for i, u, _ in rows}
+
+
 # 5 Progressive JPEG
 
 
