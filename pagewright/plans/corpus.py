@@ -181,6 +181,12 @@ def chrome_detect(spark, sf_dir):
     return blocks.page_furniture(rows, ["doc_id"], "length(line) < 25").select("doc_id", "furniture", "n")
 
 
+@query()
+def chrome_detect_all(spark, sf_dir):
+    """chrome_detect over the documents of every language, whose word breaks DuckDB's regexes don't know."""
+    return blocks.page_furniture(_lines(spark, sf_dir), ["doc_id"], "length(line) < 25").select("doc_id", "furniture", "n")
+
+
 @query()
 def collapse_truncate(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.without_cascade(F.col("text")).alias("clean"))

@@ -170,3 +170,9 @@ def html_report(spark, sf_dir):
 @query("select doc_id, replace(replace(replace(replace(source || ' <' || left(text, 40) || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') cell from documents")
 def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.escaped_html(F.concat("source", F.lit(" <"), F.substring("text", 1, 40), F.lit(">"))).alias("cell"))
+
+
+@query("select doc_id, replace(replace(replace(replace(source || ' <' || text || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') cell from documents")
+def html_escape_whole(spark, sf_dir):
+    """html_escape of whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.escaped_html(F.concat("source", F.lit(" <"), "text", F.lit(">"))).alias("cell"))

@@ -1,5 +1,6 @@
 """Operators on small hand-made rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,15 @@ def test_event_windows_in_a_stream(spark, data):
     run.awaitTermination(90)
     batch = stream.tumbling(spark.read.parquet(f"{data}/events.parquet"))
     assert spark.table("tumbling").count() == batch.count() > 0
+
+
+def test_whole_tables_and_texts_are_examined(spark, tmp_path):
+    from pagewright.plans import catalog
+
+    page = "\n".join(["Seite 1", "Jahresbericht der Firma"] * 6)
+    rows = [(1, page, "de", "s", len(page)), (2, "x" * 60 + " <b> & tail", "fr", "s", 71)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["chrome_detect_all"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in found} == {1} and any("jahresbericht" in r.furniture for r in found)
+    cells = {r.doc_id: r.cell for r in catalog.QUERIES["html_escape_whole"](spark, str(tmp_path)).collect()}
+    assert cells[2] == "s &lt;" + "x" * 60 + " &lt;b&gt; &amp; tail&gt;"
