@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +74,23 @@ def hamming_pairs(hashes: DataFrame, bits: str, id_col: str = "id", distance: in
     right = each.select(F.col("id").alias("b"), F.col("h").alias("hb"), "band", "value")
     d = F.bit_count(F.col("h").bitwiseXOR(F.col("hb")))
     return each.join(right, ["band", "value"]).where("id < b").where(d <= distance).select(F.col("id").alias("a"), "b", d.cast("int").alias("d")).distinct()
+
+
+def hamming_pairs_64(hashes: DataFrame, bits: str, id_col: str = "id", distance: int = 12) -> DataFrame:
+    """hamming_pairs() of 64 bits for distances up to 15, by four bands of 16 bits.
+
+    In one of them a pair differs in at most distance // 4 bits. One side emits
+    all band values within that many flips and the other its own, so that a
+    value is shared by one row in 65,536 where distance + 1 bands are shared by
+    one in 32.
+    """
+    kinds = hashes.groupBy(F.col(bits).alias("h")).agg(F.min(id_col).alias("id"))
+    band = lambda i: F.shiftrightunsigned(F.col("h"), 16 * i).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), band(i).alias("value")) for i in range(4)])
+    each = kinds.select("id", "h", F.explode(bands).alias("k")).select("id", "h", "k.*")
+    flips = [sum(1 << i for i in c) for n in range(distance // 4 + 1) for c in combinations(range(16), n)]
+    flips = F.array(*[F.lit(x).cast("bigint") for x in flips])
+    near = each.select(F.col("id").alias("b"), F.col("h").alias("hb"), "band", "value", F.explode(flips).alias("flip"))
+    near = near.select("b", "hb", "band", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    d = F.bit_count(F.col("h").bitwiseXOR(F.col("hb")))
+    return each.join(near, ["band", "value"]).where("id < b").where(d <= distance).select(F.col("id").alias("a"), "b", d.cast("int").alias("d")).distinct()

@@ -201,6 +201,15 @@ def test_event_windows_in_a_stream(spark, data):
     assert spark.table("tumbling").count() == batch.count() > 0
 
 
+def test_hamming_pairs_over_64_bits_match_brute_force(spark):
+    rng = np.random.default_rng(16)
+    base = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 20)]
+    hashes = base + [base[i] ^ sum(1 << int(b) for b in rng.choice(63, 1 + j, replace=False)) for i in range(20) for j in range(14)]
+    want = {(a, b, d) for a in range(len(hashes)) for b in range(a + 1, len(hashes)) if (d := ((hashes[a] ^ hashes[b]) & (1 << 64) - 1).bit_count()) <= 12}
+    got = joins.hamming_pairs_64(spark.createDataFrame(list(enumerate(hashes)), "id long, h long"), "h").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 240
+
+
 def test_whole_tables_and_texts_are_examined(spark, tmp_path):
     from pagewright.plans import catalog
 
