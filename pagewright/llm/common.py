@@ -24,6 +24,14 @@ from ..sources.tables import table  # noqa: F401
 
 #: Bytes of text that a Python worker expands at once.
 SLICE_BYTES = 4 << 20
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that sends rows to Python in batches of bounded bytes, not only of bounded rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def with_text(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
@@ -66,7 +74,7 @@ def arrow_batch(schema: T.StructType, columns: list) -> pa.RecordBatch:
 def map_texts(df: DataFrame, keep: str | list[str], text_col: str, fields: str, work, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 14) -> DataFrame:
     """The kept columns, and work(list of UTF-8 texts) -> list of result columns, over all rows in pieces of bounded size."""
     keep = [keep] if isinstance(keep, str) else keep
-    src = with_text(df, keep, text_col)
+    src = small_batches(with_text(df, keep, text_col))
     schema = out_schema(src, keep, fields)
 
     def run(batches):

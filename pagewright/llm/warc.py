@@ -3,22 +3,26 @@
 Writing: a record per row; the text source puts the blank lines between them.
 Of equal payloads the row with the largest id becomes a response, the others
 revisits that refer to it. A revisit keeps its HTTP header, whose
-Content-Length is that of the payload it stands for.
+Content-Length is that of the payload it stands for. Archives are plain files,
+which readers can cut anywhere.
 
 Reading: the text source cuts a file at every occurrence of the magic, also
 inside payloads. Tasks number the pieces of their part of a file by offset and
 emit, for each candidate, the offset of its successor (from Content-Length) and
-the first offset behind the part that its chain leads to. Pointer jumping over
-these exits, from the start of each file, finds where each part is entered, so
-that a file of n parts takes about log n joins; a walk from there retains the
-reachable records. Pieces that are not reachable are payload and go back to the
-record that holds them. digests() sums payloads up where they are read, so that
-only records cut by a magic in their payload are shuffled with their bytes.
+the first offset behind its stretch (of about STRETCH bytes) that its chain
+leads to. Pointer jumping over these exits, from the start of each file, finds
+where each stretch is entered, in about log n joins for a file of n stretches;
+a walk from there retains the reachable records of a stretch. Pieces that are
+not reachable are payload and go back to the record that holds them. digests()
+sums payloads up where they are read, so that only records cut by a magic in
+their payload are shuffled with their bytes.
 
 Defined cases: a null payload is the empty payload; null ids are written as
 such and read back null; all rows with the largest id of a payload (repeated
-rows) are responses; text before the first record and after a broken one is
-ignored.
+rows) are responses; an empty table and empty files give no records. A file
+that doesn't begin with the magic, or whose chain ends before the file does (a
+header without a length, a length that leads into a payload or beyond the
+end), raises BrokenArchive.
 """
 
 from __future__ import annotations
@@ -36,11 +40,17 @@ from . import common
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 SIZE = len(MAGIC)
+#: Bytes of an archive whose chains a task collapses before pointer jumping.
+STRETCH = 1 << 20
 # Digits of base 32.
 BASE32_OF = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+class BrokenArchive(ValueError):
+    """An archive whose records don't follow each other to its end."""
+
+
 def sha1_base32(col):
     """The bare base 32 SHA-1: 5 hexadecimal digits are 4 digits of base 32."""
     hexa = F.sha1(col)
@@ -54,6 +64,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "[\\r\\n]+", " ").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", sha1_base32(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload"))
     equal = rows.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("equal_digest")).agg(F.max("id").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    equal = common.stored(equal, "equal")  # its size is known when the join is planned, so that payloads only move if it is too large to broadcast
     rows = rows.join(equal, (F.col("digest") == F.col("equal_digest")) & (F.col("bytes") >= least_bytes), "left")
     revisit = F.col("n").isNotNull() & ~F.col("id").eqNullSafe(F.col("kept"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -72,7 +83,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     return rows.select("id", "digest", F.when(revisit, F.col("kept")).alias("refers_to"), value.alias("value"))
 
 
-def write(found: DataFrame, path: str, compression: str = "gzip") -> None:
+def write(found: DataFrame, path: str, compression: str = "none") -> None:
+    """Archives in the folder path. Compressed ones can't be cut: one task reads each."""
     found.select("value").write.option("lineSep", END).option("compression", compression).text(path)
 
 
@@ -110,161 +122,172 @@ def summed_up(value: bytes) -> tuple:
 
 
 _SUMS = "page_id bigint, type string, refers_to_page bigint, payload_bytes bigint, payload_digest string"
-_PIECE = "file string, part bigint, place bigint, next bigint"
+_CANDIDATE = "file string, part bigint, stretch bigint, place bigint, next bigint, way_out bigint, stop bigint, complete boolean"
+KEYS = ["file", "part", "place"]
+
+
+def placed(batches):
+    """(file, part, place, value) of each piece, in order; place counts from the part's first byte.
+
+    It is that of the piece's magic plus SIZE, so that what stands before a
+    file's first magic is at 0.
+    """
+    now, place = None, 0
+    for batch in batches:
+        for value, file, part in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if (file, part) != now:
+                now, place = (file, part), 0
+            v = value.as_py()
+            yield file, part, place, v
+            place += len(v) + SIZE
 
 
-def pieces(spark: SparkSession, path: str, what: str) -> DataFrame:
-    """Candidates by (file, part), place and next counted from the part's first byte.
+def raw_pieces(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("lineSep", MAGIC).text(path)
+    return common.small_batches(rows).select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"))
 
-    what: "values" for value; "sums" for complete and, of complete records, what
-    summed_up() gives; "chains" for way_out and part_bytes.
 
+def candidates(spark: SparkSession, path: str, sums: bool = False, stretch: int = STRETCH) -> DataFrame:
+    """A row per piece of the files.
 
-    place is that of the magic plus SIZE, so that the text before the first magic of a file stands at 0.
+    next: place of its successor; way_out: the first place of its chain behind
+    its stretch (null: the chain ends within); stop: where the stretch ends;
+    complete: its record ends with the piece; with sums also what summed_up()
+    gives of complete ones. Places count from the part's first byte.
     """
-    raw = spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"))
-
-    def parted(batches):
-        """(file, part, place, values) of each stretch of a batch that lies in one part."""
-        now, place = None, 0
-        for batch in batches:
-            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            start = 0
-            while start < len(keys):
-                stop = start + 1
-                while stop < len(keys) and keys[stop] == keys[start]:
-                    stop += 1
-                if keys[start] != now:
-                    now, place = keys[start], 0
-                values = batch.column(0).slice(start, stop - start)
-                yield now, place, values
-                place += sum(len(v.as_buffer()) + SIZE for v in values)
-                start = stop
-
-    def numbered(values, place):
-        at, places, nexts = place, [], []
-        for v in values:
-            v = v.as_py()
-            places.append(at)
-            nexts.append(successor(v, at + SIZE))
-            at += len(v) + SIZE
-        return places, nexts, at
-
-    def with_value(batches):
-        for (file, part), place, values in parted(batches):
-            places, nexts, _ = numbered(values, place)
-            n = len(places)
-            yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([part] * n, pa.int64()), pa.array(places, pa.int64()), pa.array(nexts, pa.int64()), values], names=["file", "part", "place", "next", "value"])
-
-    def with_sums(batches):
-        for (file, part), place, values in parted(batches):
-            places, nexts, _ = numbered(values, place)
-            n, complete, sums = len(places), [], []
-            for v, at, after in zip(values, places, nexts, strict=True):
-                v = v.as_py()
-                complete.append(after is not None and after <= at + len(v) + 2 * SIZE)
-                sums.append(summed_up(v) if complete[-1] else (None,) * 5)
-            yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([part] * n, pa.int64()), pa.array(places, pa.int64()), pa.array(nexts, pa.int64()), pa.array(complete), *(pa.array(c, t) for c, t in zip(zip(*sums, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["file", "part", "place", "next", "complete", "page_id", "type", "refers_to_page", "payload_bytes", "payload_digest"])
-
-    def chains(batches):
-        held: dict = {}
-        now = None
-        for key, place, values in parted(batches):
-            if key != now and now is not None:
-                yield closed(now, held)
-                held = {}
-            now = key
-            places, nexts, end = numbered(values, place)
-            held.setdefault("places", []).extend(places)
-            held.setdefault("nexts", []).extend(nexts)
-            held["end"] = end
-        if now is not None:
-            yield closed(now, held)
-
-    def closed(key, held):
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    names = [f.split()[0] for f in f"{_CANDIDATE}, {_SUMS}".split(", ")]
+
+    def closed(key, rows):
+        """rows: (place, next, complete, sums) of one stretch, whose end is that of the last piece."""
         out: dict[int, int | None] = {}
-        inside = set(held["places"])
-        for place, after in zip(reversed(held["places"]), reversed(held["nexts"]), strict=True):
-            out[place] = after if after is None or after not in inside else out[after]
-            if after is not None and after not in inside and after < held["end"]:
-                out[place] = None  # points into a payload: no record starts there
-        n = len(held["places"])
-        cols = [pa.array([key[0]] * n), pa.array([key[1]] * n, pa.int64()), pa.array(held["places"], pa.int64()), pa.array(held["nexts"], pa.int64()), pa.array([out[p] for p in held["places"]], pa.int64()), pa.array([held["end"]] * n, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, names=["file", "part", "place", "next", "way_out", "part_bytes"])
-
-    run, more = {"values": (with_value, "value binary"), "sums": (with_sums, f"complete boolean, {_SUMS}"), "chains": (chains, "way_out bigint, part_bytes bigint")}[what]
-    return raw.mapInArrow(run, f"{_PIECE}, {more}")
-
-
-def reachable(spark: SparkSession, path: str) -> DataFrame:
-    """(file, part, place, start): the records that the chain from each file's start leads to; start counts from the file's first byte, plus SIZE."""
-    found = common.stored(pieces(spark, path, "chains"), "candidates")
-    parts = found.groupBy("file", "part").agg(F.max("part_bytes").alias("bytes"))
-    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("file", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
-    jumps = found.join(parts, ["file", "part"]).select("file", "part", "base", (F.col("base") + F.col("place")).alias("start"), (F.col("base") + F.col("way_out")).alias("to"))
-    jumps = common.stored(jumps, "jumps")
-    entered = jumps.where("part = 0 and start >= 0").groupBy("file", "part").agg(F.min(F.when(F.col("start") >= SIZE, F.col("start"))).alias("start")).where(f"start = {SIZE}").select("file", "start")
-    entered = common.stored(entered, "entered")
-    hop = jumps.where("to is not null").select("file", F.col("start").alias("from"), "to")
-    known = entered.count()
-    for k in range(64):
-        step = entered.join(hop, (entered.file == hop.file) & (entered.start == hop["from"])).select(entered.file, hop["to"].alias("start"))
-        real = jumps.select("file", "start")
-        entered = common.stored(entered.union(step.join(real, ["file", "start"], "left_semi")).distinct(), f"entered{k}")
-        now = entered.count()
-        if now == known:
+        for place, after, *_ in reversed(rows[:-1]):
+            out[place] = after if after is None or after >= rows[-1][0] else out.get(after)
+        file, part, number = key
+        body, stop = rows[:-1], rows[-1][0]
+        n = len(body)
+        cols = [pa.array([file] * n), *(pa.array([x] * n, pa.int64()) for x in (part, number)), *(pa.array([r[i] for r in body], pa.int64()) for i in (0, 1))]
+        cols += [pa.array([out[r[0]] for r in body], pa.int64()), pa.array([stop] * n, pa.int64()), pa.array([r[2] for r in body])]
+        cols += [pa.array([r[3][i] for r in body], t) for i, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    def run(batches):
+        key, rows, end = None, [], 0
+        for file, part, place, v in placed(batches):
+            if (now := (file, part, place // stretch)) != key:
+                if rows:
+                    yield closed(key, [*rows, (end,)])
+                key, rows = now, []
+            after, end = successor(v, place + SIZE), place + len(v) + SIZE
+            complete = after is not None and after <= end + SIZE
+            rows.append((place, after, complete, summed_up(v) if sums and complete else (None,) * 5))
+        if rows:
+            yield closed(key, [*rows, (end,)])
+
+    return raw_pieces(spark, path).mapInArrow(run, f"{_CANDIDATE}, {_SUMS}")
+
+
+def reachable(found: DataFrame) -> DataFrame:
+    """(file, part, place): the records that the chain from each file's start leads to, of stored candidates()."""
+    parts = found.groupBy("file", "part").agg(F.max("stop").alias("bytes"))
+    whole = Window.partitionBy("file")
+    base = F.coalesce(F.sum("bytes").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = common.stored(parts.select("file", "part", base.alias("base"), F.sum("bytes").over(whole).alias("size")), "parts")
+    chains = found.join(parts, ["file", "part"]).select("file", "part", "stretch", "place", (F.col("base") + F.col("place")).alias("start"), (F.col("base") + F.col("way_out")).alias("to"))
+    chains = common.stored(chains, "chains")
+    # Jumps start at the files' first records and at places that some chain leaves its stretch for.
+    firsts = parts.select("file", F.lit(SIZE).cast("bigint").alias("start"))
+    doors = firsts.unionByName(chains.select("file", F.col("to").alias("start")).where("start is not null")).distinct()
+    hop = common.stored(chains.join(doors, ["file", "start"]).select("file", "start", "to"), "hop")
+    entered = common.stored(hop.where(f"start = {SIZE}").select("file", "start"), "entered")
+    reached = entered.count()
+    while reached:
+        step = entered.join(hop, ["file", "start"]).select("file", F.col("to").alias("start")).where("start is not null")
+        grown = common.stored(entered.union(step).distinct(), "entered")
+        common.dropped(entered)
+        entered, before, reached = grown, reached, grown.count()
+        if reached == before:
             break
-        known = now
-        onward = hop.select("file", F.col("from").alias("to"), F.col("to").alias("further"))
-        hop = common.stored(hop.join(onward, ["file", "to"]).select("file", "from", F.col("further").alias("to")), f"hop{k}")
+        onward = hop.select("file", F.col("start").alias("to"), F.col("to").alias("further"))
+        farther = common.stored(hop.join(onward, ["file", "to"]).select("file", "start", F.col("further").alias("to")), "hop")
+        common.dropped(hop)
+        hop = farther
 
     def walk(table: pa.Table) -> pa.Table:
         after = dict(zip(table.column("place").to_pylist(), table.column("next").to_pylist(), strict=True))
-        entry = min((x for x in table.column("entry").to_pylist() if x is not None), default=None)
-        base, kept = (table.column("base")[0].as_py() if len(table) else 0), []
-        while entry in after:
-            kept.append(entry)
-            entry = after[entry]
+        at, kept = table.column("entry")[0].as_py(), []
+        while at in after:
+            kept.append(at)
+            at = after[at]
         n = len(kept)
-        return pa.table({"file": pa.array(table.column("file").to_pylist()[:1] * n, pa.string()), "part": pa.array(table.column("part").to_pylist()[:1] * n, pa.int64()), "place": pa.array(kept, pa.int64()), "start": pa.array([base + k for k in kept], pa.int64())})
-
-    doors = jumps.join(entered, ["file", "start"]).groupBy("file", "part").agg(F.min("base").alias("base"), F.min("start").alias("entry"))
-    doors = doors.select("file", "part", "base", (F.col("entry") - F.col("base")).alias("entry"))
-    return found.select("file", "part", "place", "next").join(doors, ["file", "part"]).groupBy("file", "part").applyInArrow(lambda t: walk(t), "file string, part bigint, place bigint, start bigint")
-
-
-KEYS = ["file", "part", "place"]
-
-
-def mended(spark: SparkSession, path: str, chain: DataFrame) -> DataFrame:
+        return pa.table({"file": table.column("file").slice(0, 1).to_pylist() * n, "part": pa.array(table.column("part").slice(0, 1).to_pylist() * n, pa.int64()), "place": pa.array(kept, pa.int64()), "next": pa.array([after[k] for k in kept], pa.int64())})
+
+    doors = chains.join(entered, ["file", "start"]).select("file", "part", "stretch", F.col("place").alias("entry"))
+    entries = found.select("file", "part", "stretch", "place", "next").join(doors.hint("merge"), ["file", "part", "stretch"])
+    chain = entries.groupBy("file", "part", "stretch").applyInArrow(lambda t: walk(t), "file string, part bigint, place bigint, next bigint")
+    chain = common.stored(chain, "chain")
+    ends = chain.join(parts, ["file", "part"]).groupBy("file").agg(F.max(F.col("base") + F.col("next")).alias("end"), F.count_if(F.col("next").isNull()).alias("open"))
+    sizes = parts.groupBy("file").agg(F.max("size").alias("size"))
+    broken = sizes.join(ends, "file", "left").where("end is null or open > 0 or abs(end - size) > 4").orderBy("file")
+    if first := broken.limit(1).collect():
+        raise BrokenArchive(f"{broken.count()} of the files have records that don't follow each other to the end, as {first[0]['file']}")
+    for x in (hop, entered, chains, parts):
+        common.dropped(x)
+    return chain.drop("next")
+
+
+def valued(spark: SparkSession, path: str) -> DataFrame:
+    """file, part, place, value of each piece."""
+
+    def numbered(batches):
+        rows: list[tuple] = []
+        size = 0
+        for row in placed(batches):
+            rows.append(row)
+            size += len(row[3])
+            if size > common.SLICE_BYTES:
+                yield packed(rows)
+                rows, size = [], 0
+        if rows:
+            yield packed(rows)
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=[*KEYS, "value"])
+
+    return raw_pieces(spark, path).mapInArrow(numbered, "file string, part bigint, place bigint, value binary")
+
+
+def mended(spark: SparkSession, path: str, found: DataFrame, chain: DataFrame) -> DataFrame:
     """(value): the reachable records that a magic in their payload cuts, put together again."""
-    joined = pieces(spark, path, "values").join(chain.withColumn("real", F.lit(True)), KEYS, "left")
-    known = F.coalesce(F.col("real"), F.lit(False))
-    cut = common.stored(joined.where(~known | (F.col("next") > F.col("place") + F.octet_length("value") + 2 * SIZE)).select(*KEYS, known.alias("real"), "value"), "cut")
+    known = found.select(*KEYS, "complete").join(chain.withColumn("real", F.lit(True)).hint("merge"), KEYS, "left").withColumn("real", F.coalesce("real", F.lit(False)))
     order = Window.partitionBy("file").orderBy("part", "place")
-    owned = cut.withColumn("owner", F.last(F.when(F.col("real"), F.struct("part", "place")), ignorenulls=True).over(order)).where("owner is not null")
-    text = F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "real", "value"))), lambda x: F.when(x["real"], x["value"]).otherwise(F.concat(F.lit(MAGIC.encode()), x["value"])))
-    return owned.groupBy("file", "owner").agg(F.aggregate(text, F.lit(b""), lambda a, b: F.concat(a, b)).alias("value")).select("value")
+    owner = F.last(F.when(F.col("real"), F.struct("part", "place")), ignorenulls=True).over(order)
+    cut = known.where("not real or not complete").withColumn("owner", owner).where("owner is not null").drop("complete")
+    text = F.when(F.col("real"), F.col("value")).otherwise(F.concat(F.lit(MAGIC.encode()), F.col("value")))
+    each = valued(spark, path).join(common.stored(cut, "cut").hint("merge"), KEYS).select("file", "owner", "part", "place", text.alias("piece"))
+    return each.groupBy("file", "owner").agg(F.expr("listagg(piece, x'') within group (order by struct(part, place))").alias("value")).select("value")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, stretch: int = STRETCH) -> DataFrame:
     """page_id, type, refers_to_page, record_id, refers_to, uri, digest, http_length, payload (null for revisits) of the records under path."""
-    chain = common.stored(reachable(spark, path), "chain")
-    found = pieces(spark, path, "values").join(chain, KEYS)
-    whole = found.where(F.col("next") <= F.col("place") + F.octet_length("value") + 2 * SIZE).select("value")
-    return parsed(whole.unionByName(mended(spark, path, chain)))
+    found = common.stored(candidates(spark, path, stretch=stretch), "candidates")
+    chain = reachable(found)
+    whole = found.where("complete").select(*KEYS).join(chain.hint("merge"), KEYS)
+    values = valued(spark, path).join(whole.hint("merge"), KEYS).select("value")
+    return parsed(values.unionByName(mended(spark, path, found, chain)))
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
+def digests(spark: SparkSession, path: str, stretch: int = STRETCH) -> DataFrame:
     """page_id, type, refers_to_page, payload_bytes, payload_digest of the records under path, without their payloads."""
-    chain = common.stored(reachable(spark, path), "chain")
-    found = common.stored(pieces(spark, path, "sums").join(chain, KEYS), "sums")
+    found = common.stored(candidates(spark, path, True, stretch), "candidates")
+    chain = reachable(found)
     names = [f.split()[0] for f in _SUMS.split(", ")]
-    whole = found.where("complete").select(*names)
-    if not found.where("not complete").limit(1).count():
+    real = common.stored(found.join(chain.hint("merge"), KEYS).select("complete", *names), "records")
+    whole = real.where("complete").select(*names)
+    if not real.where("not complete").limit(1).count():
+        common.dropped(found)
         return whole
-    rest = parsed(mended(spark, path, chain))
+    rest = parsed(mended(spark, path, found, chain))
     size = F.coalesce(F.octet_length("payload").cast("bigint"), F.col("http_length"))
     digest = F.when(F.col("payload").isNotNull(), sha1_base32(F.col("payload"))).otherwise(F.col("digest"))
     return whole.unionByName(rest.select("page_id", "type", "refers_to_page", size.alias("payload_bytes"), digest.alias("payload_digest")))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from pagewright.llm import common, jpeg, licenses, neighbours, packing, quality, secrets, sentencepieces, simhash, terms, toxicity, warc
 
@@ -237,13 +238,16 @@ def test_archives_with_magic_in_payloads(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     was = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        for n, (packed, split) in enumerate((("gzip", "128m"), ("none", "32k"))):
+        for n, (packed, split, stretch) in enumerate((("gzip", "128m", 1 << 20), ("none", "32k", 3000))):
             spark.conf.set("spark.sql.files.maxPartitionBytes", split)
             path = f"{tmp_path}/{n}"
             warc.write(warc.records(pages).coalesce(2), path, packed)
-            got = {r.page_id: (r.payload_bytes, r.payload_digest, r.type, r.refers_to_page) for r in warc.digests(spark, path).collect()}
+            found = common.stored(warc.candidates(spark, path, stretch=stretch), "candidates")
+            jumps = found.groupBy("file").agg(F.countDistinct("part", "stretch").alias("n")).agg(F.max("n")).collect()[0][0]
+            assert jumps > 10 or n == 0
+            got = {r.page_id: (r.payload_bytes, r.payload_digest, r.type, r.refers_to_page) for r in warc.digests(spark, path, stretch).collect()}
             assert got == want
-            bodies = {r.page_id: bytes(r.payload) for r in warc.read(spark, path).collect() if r.payload is not None}
+            bodies = {r.page_id: bytes(r.payload) for r in warc.read(spark, path, stretch).collect() if r.payload is not None}
             assert all(bodies[i] == (h or "").encode() for i, _, h in rows if want[i][2] == "response")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
@@ -257,6 +261,26 @@ def test_records_behind_a_long_header_are_found(spark, tmp_path):
     assert {r.page_id: r.uri for r in warc.read(spark, f"{tmp_path}/long").collect()} == {i: u for i, u, _ in rows}
 
 
+@pytest.mark.parametrize("broken", [b"Content-Length: 9\r\n\r\nabc\r\n\r\n", b"No-Length: 3\r\n\r\nabc\r\n\r\n", b"Content-Length: 3\r\n\r\nabcd"])
+def test_broken_archives_are_reported(spark, tmp_path, broken):
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for name, data in (("a", good * 3), ("b", good + b"WARC/1.1\r\n" + broken + good), ("c", b""), ("d", b"no magic")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(data)
+    assert warc.digests(spark, str(tmp_path / "a")).count() == 3 and warc.digests(spark, str(tmp_path / "c")).count() == 0
+    for name in "bd":
+        with pytest.raises(warc.BrokenArchive):
+            warc.digests(spark, str(tmp_path / name))
+
+
+def test_archives_of_empty_and_odd_tables(spark, tmp_path):
+    odd = [(1, None, None, "x"), (None, "u", "", "y"), (None, "u", "", "y"), (3, "v" * 200_000, "z" * 300_000, None)]
+    pages = spark.createDataFrame(odd, "page_id long, url string, html string, value string")
+    for n, rows in enumerate((pages, pages.limit(0))):
+        warc.write(warc.records(rows), f"{tmp_path}/{n}")
+        assert warc.digests(spark, f"{tmp_path}/{n}").count() == rows.count()
+
+
 # 5 Progressive JPEG
 
 
