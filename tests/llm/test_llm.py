@@ -160,22 +160,60 @@ def test_rows_keep_their_numbers_when_the_input_is_cut_anew(spark, tmp_path):
 
 def test_fuzzy_notices_match_a_scan_of_the_whole_text():
     rng = np.random.default_rng(4)
+    searched = [x for x in licenses.NOTICES if x.errors]
     filler = "the of this license under reserved all by nc software copy terms redistribution any permission".split()
     for n in range(120):
         parts = []
         for _ in range(rng.integers(1, 4)):
             parts += list(rng.choice(filler, rng.integers(0, 30)))
-            chars = list(licenses.NOTICES[rng.integers(0, len(licenses.NOTICES))].words)
+            chars = list(searched[rng.integers(0, len(searched))].words)
             for _ in range(rng.integers(0, 5)):
                 at = rng.integers(0, len(chars))
                 chars[at : at + rng.integers(0, 2)] = list(rng.choice(["", "z", " q"]))
             parts.append("".join(chars))
         text = " ".join(" ".join(parts).split())
         found = {licenses.NOTICES[i].words for i, *_ in licenses.fuzzy_matches(text)}
-        whole = {x.words for x in licenses.NOTICES if regex.search(f"(?:{regex.escape(x.words)}){{e<={x.errors}}}", text)}
+        whole = {x.words for x in searched if regex.search(f"(?:{regex.escape(x.words)}){{e<={x.errors}}}", text)}
         assert found == whole, text
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Licensed under the Apache License, Version 2.0 (the", {"apache-2"}),
+        ("apache licence version 2", {"apache-2"}),
+        ("Apache License Version 1.0", {"apache-1"}),
+        ("apache license version 1.1 or", {"apache-1.1"}),
+        ("licensed under the apache license version 1", set()),
+        ("apache license version 20", set()),
+        ("under the MIT license", {"mit"}),
+        ("under teh MIT license", {"mit"}),
+        ("under the ms license", set()),
+        ("under the mitre license", set()),
+        ("CC BY 4.0", {"cc-by"}),
+        ("cc by nd 4 0", {"cc-by-nd"}),
+        ("CC-BY-NC-SA 4.0", {"cc-by-nc-sa"}),
+        ("cc by nc", {"cc-by-nc"}),
+        ("Creative Commons Attribution-NoDerivs 3.0", {"cc-by-nd"}),
+        ("creative comons attribution", set()),
+        ("creative commons atribution share alike", {"cc-by-sa"}),
+        ("under the terms of the GNU General Public License", {"gpl"}),
+        ("under the terms of the GNU Lesser General Public License", {"lgpl"}),
+        ("under the terms of the GNU Affero General Public Licence", {"agpl"}),
+        ("Mozilla Public License, v. 2.0", {"mpl-2"}),
+        ("mozila public license 2 0", set()),
+        ("mozilla public licence version 1.1", {"mpl-1.1"}),
+        ("all rights reversed", set()),
+        ("All rights reservd.", {"all-rights-reserved"}),
+        ("small rights reserved", set()),
+        ("", set()),
+    ],
+)
+def test_versions_and_clauses_are_exact(text, labels):
+    normal = b" ".join(licenses.words_of(text.encode())).decode()
+    assert {x["label"] for x in licenses.spans_of(normal, licenses.NOTICES)} == labels
+
+
 def test_exact_places():
     words = licenses.words_of("Under the MIT-license! under the mit license, cc by NC cc by nc".encode())
     text = b" ".join(words)
