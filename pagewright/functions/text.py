@@ -119,7 +119,7 @@ def long_runs(text: Column, least: int = 30, kept: int = 20) -> Column:
     return F.regexp_replace(text, "(.)\\1{%d,}" % (least - 1), "$1" * kept)
 
 
-#: Runaway repetitions, each for Java's regex engine: a short token, a substring, dot leaders, a footnote sign, an address line.
+# Runaway repetitions, for Java's regex engine: a short token, a substring, dot leaders, a footnote sign, an address line.
 _SUP = r"(?:<sup>[^<]{0,10}</sup>|\\\(\^[^)]{0,20}\\?\))?\s*Electronic address:"
 CASCADES = (r"(\S{1,12})(?:\s+\1){15,}", r"(?s:(.{3,12}?)\1{10,})", r"(?:\.\s*){50,}", r"\(S\)[\s\\()]*?(?:\(S\)[\s\\()]*?){15,}", rf"(?s:{_SUP}.{{0,150}}?{_SUP}.{{0,150}}?{_SUP})")
 CUT_MARK = " […collapse-truncated]"
@@ -127,17 +127,22 @@ CASCADE_LEAST = 200
 
 
 def before_cascade(text: Column) -> Column:
-    """The text before its earliest runaway repetition; null if it has none or under 200 characters."""
-    shortest = text
-    for pattern in CASCADES:
-        kept = F.call_function("substring_index", text, F.regexp_substr(text, F.lit(pattern)), F.lit(1))
-        shortest = F.when(F.length(kept) < F.length(shortest), kept).otherwise(shortest)
-    return F.when((F.length(text) >= CASCADE_LEAST) & (F.length(shortest) < F.length(text)), shortest)
+    """The text before its earliest runaway repetition; null if it has none or under 200 characters.
+
+    The lengths before each pattern's first match stand in an array, whose
+    least one cuts, so that each pattern is searched once.
+    """
+    # substring_index by the match itself: positions of the regex functions count UTF-16 units.
+    kept = lambda t: F.array(*[F.length(F.call_function("substring_index", t, F.regexp_substr(t, F.lit(p)), F.lit(1))) for p in CASCADES])
+    long = F.when(F.length(text) >= CASCADE_LEAST, text)
+    # A transform over one element binds the least length to a name, so that its code stands once.
+    cut = F.transform(F.array(F.array_min(kept(long))), lambda n: F.when(n < F.length(long), F.substring(long, F.lit(1), n)))
+    return F.get(cut, F.lit(0))
 
 
 def without_cascade(text: Column, mark: str = CUT_MARK) -> Column:
-    kept = before_cascade(text)
-    return F.when(kept.isNull(), text).otherwise(F.concat(F.regexp_replace(kept, f"{SPACE}+$", ""), F.lit(mark)))
+    marked = lambda kept: F.when(kept.isNull(), text).otherwise(F.concat(F.regexp_replace(kept, f"{SPACE}+$", ""), F.lit(mark)))
+    return F.get(F.transform(F.array(before_cascade(text)), marked), F.lit(0))
 
 
 # Dashes that count as one when page furniture is compared.
@@ -154,10 +159,9 @@ def furniture_key(line: Column, most: int = 60) -> Column:
 
 
 def heading_level(section: Column) -> Column:
-    """2 to 4 by the depth of the clause number, 3 without one."""
-    number = F.regexp_extract(section, r"^(\d+(?:\.\d+)*)", 1)
-    depth = F.size(F.split(number, r"\."))
-    return F.when(number == "", 3).when(depth <= 1, 2).when(depth == 2, 3).otherwise(4)
+    """2 to 4 by the depth of the clause number (up to two levels: 2), 3 without one."""
+    number = F.regexp_extract(F.regexp_replace(section, r"^[*_# ]+", ""), r"^\s*(\d+(?:\.\d+)*)\b", 1)
+    return F.when(number == "", 3).otherwise(F.least(F.lit(4), F.greatest(F.lit(2), F.size(F.split(number, r"\.")))))
 
 
 def escaped_html(text: Column) -> Column:

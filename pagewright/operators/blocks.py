@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CLAUSE, collapsed, furniture_key
-from .chunk import by_document
+from ..functions.text import CLAUSE, collapsed, collapsed_ends, furniture_key
 
 BLOCK = "struct<id:string,page:int,section:string,section_path:string,type:string,text:string>"
 
@@ -23,40 +22,38 @@ def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(id_col, F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), block).alias("blocks"))
 
 
-def markdown_blocks(page: str, number: int = 1, section: str = "") -> list[tuple[str, int, str, str, str]]:
-    """(id, page, section, type, text) of a page of Markdown.
+def from_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page: int = 1) -> DataFrame:
+    """id, block, page, section, type, block_text of documents in Markdown, each of which is a page.
 
-    A line that starts with # is a heading and sets the section; lines with a
-    pipe make one table; anything else runs to the next blank line as one
-    paragraph, headings and table lines included.
+    Lines are classified, and neighbours of one kind form a block. Within a
+    stretch without blank lines, the first line that is neither heading nor
+    table begins a paragraph that takes the rest of the stretch. Before it, a
+    line that starts with # is a heading, a line with a pipe belongs to a
+    table, and a line with both to what the line before it is. A heading sets
+    the section from there on; blocks without text only do that.
     """
-    out, rows, i = [], page.splitlines(), 0
-
-    def emit(kind: str, text: str) -> None:
-        if text.strip():
-            out.append((f"p{number}-b{len(out)}", number, section, kind, text.strip()))
-
-    while i < len(rows):
-        row = rows[i].strip()
-        stop = i + 1
-        if row.startswith("#"):
-            section = row.lstrip("#").strip()
-            emit("heading", section)
-        elif "|" in row:
-            while stop < len(rows) and "|" in rows[stop]:
-                stop += 1
-            emit("table", "\n".join(rows[i:stop]))
-        elif row:
-            while stop < len(rows) and rows[stop].strip():
-                stop += 1
-            emit("text", " ".join(x.strip() for x in rows[i:stop]))
-        i = stop
-    return out
-
-
-def from_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, block, page, section, type, block_text of documents in Markdown."""
-    return by_document(docs, lambda t: markdown_blocks(t or ""), "block string, page int, section string, type string, block_text string", id_col, text_col)
+    line_end = "\\r\\n|[\\n\\r\\x0B\\f\\x1c-\\x1e\\x85\\u2028\\u2029]"
+    whole = Window.partitionBy(id_col).orderBy("pos")
+    lines = docs.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), line_end, -1)).alias("pos", "line"))
+    lines = lines.withColumn("bare", collapsed_ends(F.col("line")))
+    lines = lines.withColumn("stretch", F.sum((F.col("bare") == "").cast("int")).over(whole)).where("bare <> ''")
+    marked, piped = F.col("bare").startswith("#"), F.contains("bare", F.lit("|"))
+    inside = Window.partitionBy(id_col, "stretch")
+    lines = lines.withColumn("paragraph", F.col("pos") >= F.min(F.when(~marked & ~piped, F.col("pos"))).over(inside))
+    sure = F.when(marked & ~piped, "heading").when(piped & ~marked, "table")
+    like = F.coalesce(F.last(sure, ignorenulls=True).over(inside.orderBy("pos")), F.lit("heading"))
+    lines = lines.withColumn("type", F.when(F.coalesce("paragraph", F.lit(False)), "text").otherwise(like))
+    same = (F.lag("type").over(whole) == F.col("type")) & (F.lag("stretch").over(whole) == F.col("stretch")) & (F.col("type") != "heading")
+    lines = lines.withColumn("run", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(whole))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "line", "bare")))
+    runs = lines.groupBy(id_col, "run").agg(F.first("type").alias("type"), parts.alias("x"))
+    title = collapsed_ends(F.regexp_replace(F.col("x")[0]["bare"], "^#+", ""))
+    text = F.when(F.col("type") == "heading", title).when(F.col("type") == "table", collapsed_ends(F.array_join("x.line", "\n"))).otherwise(F.array_join("x.bare", " "))
+    runs = runs.select(id_col, "run", "type", text.alias("block_text"))
+    section = F.coalesce(F.last(F.when(F.col("type") == "heading", F.col("block_text")), ignorenulls=True).over(Window.partitionBy(id_col).orderBy("run")), F.lit(""))
+    kept = runs.withColumn("section", section).where("block_text <> ''")
+    number = F.row_number().over(Window.partitionBy(id_col).orderBy("run")) - 1
+    return kept.select(id_col, F.format_string(f"p{page}-b%d", number).alias("block"), F.lit(page).alias("page"), "section", "type", "block_text")
 
 
 def running_section(blocks: DataFrame, keys: list[str], order: str, heading: str = "heading") -> DataFrame:

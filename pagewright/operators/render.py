@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.text import escaped_html, heading_level
 from .chunk import by_document
 
-_CLAUSE = re.compile(r"\d+(?:\.\d+)*")
+_CLAUSE = re.compile(r"(\d+(?:\.\d+)*)\b")
 
 
 def level_of(section: str) -> int:
-    """2 to 4 by the depth of the clause number; 3 without one."""
-    number = _CLAUSE.match(section)
-    return 3 if not number else min(4, 2 + number[0].count("."))
+    """2 to 4 by the depth of the clause number (up to two levels: 2); 3 without one."""
+    number = _CLAUSE.match(section.lstrip("*_# ").strip())
+    return 3 if not number else min(4, max(2, 1 + number[1].count(".")))
 
 
 def table_of(rows: list[list[str]]) -> str:

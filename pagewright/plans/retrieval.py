@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vector
 from ..functions.text import signature
 from ..operators import dense, fusion, lexical
+from ..sources.shared import stored
 from ..sources.tables import table
 from .registry import query
 
@@ -114,7 +115,8 @@ def rrf_fusion(spark, sf_dir):
 
 def candidates(spark, sf_dir):
     """query_id, id, distance, rrf, place and the document's text and source: at most 30 for each question."""
-    items = _fused(spark, sf_dir).join(_docs(spark, sf_dir), "id")
+    fused = stored(_fused(spark, sf_dir), "fused")  # at most 120 for each question; texts only move if these can't be broadcast
+    items = _docs(spark, sf_dir).join(fused, "id")
     return fusion.best(fusion.canonical_best(items, F.col("text"), F.col("source"), PREFERRED), 30)
 
 

@@ -28,40 +28,66 @@ def test_windows_of_every_length(spark):
                 if at + size >= len(clean):
                     break
                 at += max(1, size - overlap)
-            assert got.get(i, []) == expected == chunk.windows(t or "", size, overlap)
+            assert got.get(i, []) == expected
+        assert column(spark, texts, lambda c: chunk.windows(c, size, overlap)) == [got.get(i, []) for i in range(len(texts))]
 
 
-def test_tables_keep_their_head():
+def chunks_of(spark, *found):
+    rows = [(1, [tuple(x.get(k) for k in ("id", "page", "section", "section_path", "type", "text")) for x in found])]
+    return [r.asDict() for r in chunk.chunked_blocks(spark.createDataFrame(rows, f"doc_id int, blocks array<{blocks.BLOCK}>")).orderBy("chunk").collect()]
+
+
+def test_tables_keep_their_head(spark):
     head = "| a | b |\n|---|---|"
     rows = [f"| {i} | {'x' * 60} |" for i in range(60)]
-    found = chunk.block_chunks([{"type": "table", "text": "\n".join([head, *rows]), "section": "S"}])
+    found = chunks_of(spark, {"type": "table", "text": "\n".join([head, *rows]), "section": "S"})
     assert len(found) > 1 and all(c["text"].startswith(head) and len(c["text"]) <= 1600 for c in found)
     assert [r for c in found for r in c["text"].split("\n")[2:]] == rows
     assert all(c["embed_input"].startswith("Section: S Table:\n") for c in found)
+    for text in ("x" * 5000, "| " + "h" * 1700 + " |\n|---|\n" + "\n".join(rows)):  # no pipes; a head that leaves no room
+        slid = [c["text"] for c in chunks_of(spark, {"type": "table", "text": text, "section": "S"})]
+        assert len(slid) > 1 and slid[0] == " ".join(text.split())[: len(slid[0])] and slid[1].startswith(slid[0][-150:])
 
 
-def test_text_is_packed_within_a_clause():
+def test_text_is_packed_within_a_clause(spark):
     b = lambda t, path, kind="text": {"type": kind, "text": t, "section": path, "section_path": path}
-    assert len(chunk.block_chunks([b("one", "A > B > C > D"), b("two", "A > B > C > E")])) == 1
-    assert len(chunk.block_chunks([b("one", "A > B"), b("two", "A > C")])) == 2
-    assert len(chunk.block_chunks([b("one", "A"), b("head", "A", "heading"), b("two", "A")])) == 2
-    assert chunk.block_chunks([b("only", "A", "heading")]) == []
-    assert len(chunk.block_chunks([b("x" * 600, "A"), b("y" * 399, "A")])) == 1
-    assert len(chunk.block_chunks([b("x" * 600, "A"), b("y" * 400, "A")])) == 2
-
-
-def test_line_windows():
+    count = lambda *x: len(chunks_of(spark, *x))
+    assert count(b("one", "A > B > C > D"), b("two", "A > B > C > E")) == 1
+    assert count(b("one", "A > B"), b("two", "A > C")) == 2
+    assert count(b("one", "A"), b("head", "A", "heading"), b("two", "A")) == 2
+    assert count(b("only", "A", "heading")) == count(b(None, "A"), b(" ", None)) == 0
+    assert count(b("x" * 600, "A"), b("y" * 399, "A")) == 1
+    assert count(b("x" * 600, "A"), b("y" * 400, "A")) == 2
+
+
+def test_greedy_runs_match_a_plain_loop():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(rng.integers(0, 30))
+        joins, lengths, limits = rng.random(n) < 0.8, rng.integers(1, 50, n), rng.integers(40, 120, n)
+        groups: list[list[int]] = []
+        for i in range(n):
+            if groups and joins[i] and sum(lengths[k] for k in groups[-1]) + len(groups[-1]) + lengths[i] <= limits[i]:
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+        assert chunk.greedy(joins, lengths, limits) == [(g[0], len(g)) for g in groups]
+
+
+def test_line_windows(spark):
     text = "".join(f"line {i}\n" for i in range(120)) + "z" * 2000 + "\nend"
-    found = chunk.line_windows(text)
-    assert found[0][:3] == (1, 50, "chunk-1") and found[1][0] == 41
+    found = [(r.line_start, r.line_end, r.name, r.chunk_text) for r in chunk.windowed_lines(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")).collect()]
+    assert found[0][:3] == (1, 50, "chunk-1") and found[1][0] == 41 and found[0][3].endswith("line 49\n")
     assert any(len(c[3]) > 2000 and c[0] == c[1] == 121 for c in found)
-    assert found[-1][1] == 122 and chunk.line_windows("") == []
+    assert found[-1][1] == 122 and found[-1][3].endswith("end")
 
 
-def test_markdown_blocks():
-    page = "# One\ntext a\n# swallowed\n| not | table\n\n| a | b |\n| c | d |\nafter\n\n#\n\n# Two"
-    got = [(k, s, t) for _, _, s, k, t in blocks.markdown_blocks(page)]
-    assert got == [("heading", "One", "One"), ("text", "One", "text a # swallowed | not | table"), ("table", "One", "| a | b |\n| c | d |"), ("text", "One", "after"), ("heading", "Two", "Two")]
+def test_markdown_blocks(spark):
+    page = "# One\ntext a\n# swallowed\n| not | table\n\n| a | b |\n# c | d |\nafter\n\n#\n\n# x | y\n# Two"
+    rows = spark.createDataFrame([(1, page), (2, None), (3, "\n\n")], "doc_id int, text string")
+    got = [(r.block, r.type, r.section, r.block_text) for r in blocks.from_markdown(rows).orderBy("block").collect()]
+    want = [("heading", "One", "One"), ("text", "One", "text a # swallowed | not | table"), ("table", "One", "| a | b |\n# c | d |"), ("text", "One", "after"), ("heading", "x | y", "x | y"), ("heading", "Two", "Two")]
+    assert got == [(f"p1-b{i}", *w) for i, w in enumerate(want)]
 
 
 def test_resectioning(spark):
@@ -82,15 +108,23 @@ def test_cascades(spark):
     assert again == got[:6]
 
 
-def test_captions():
-    assert captions.stripped("<think>hm</think>\nHere is a summary:\n\nA sends to B.\n\nThis summary is accurate.") == "A sends to B."
-    assert captions.stripped("The diagram shows two agents.") == "The diagram shows two agents."
+def test_captions(spark):
     loop = "Node one connects to node two.\n"
-    assert captions.stripped(loop * 8) == (loop * 3).strip()
-    assert captions.stripped("A is \\boxed{42}\n---\n1. **Label**:\n**Whole bold sentence here**\nend") == "A is 42\nWhole bold sentence here\nend"
-    assert captions.stripped(None) == captions.stripped(" \n ") == ""
-    for raw in ("- a\n- b\n\n\n\n- c", "Notes:\n# Head\nfact one\n***", loop * 9):
-        assert captions.stripped(captions.stripped(raw)) == captions.stripped(raw)
+    cases = {
+        "<think>hm</think>\nHere is a summary:\n\nA sends to B.\n\nThis summary is accurate.": "A sends to B.",
+        "The diagram shows two agents.": "The diagram shows two agents.",
+        loop * 8: (loop * 3).strip(),
+        "A is \\boxed{42}\n---\n1. **Label**:\n**Whole bold sentence here**\nend": "A is 42\nWhole bold sentence here\nend",
+        None: "",
+        " \n ": "",
+        "- a\n- b\n\n\n\n- c": "- a\n- b\n\n- c",
+        "Notes:\n# Head\nA to B\n***": "A to B",
+        "The diagram shows X.\nThe diagram depicts Y.": "The diagram shows X.\nThe diagram depicts Y.",
+        "A to B\nFor more details\n\n**Note**:": "A to B",
+    }
+    got = column(spark, list(cases), captions.stripped)
+    assert got == list(cases.values())
+    assert column(spark, got, captions.stripped) == got
 
 
 def test_globs(spark):
