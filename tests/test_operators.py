@@ -204,7 +204,7 @@ def test_layout_tags(spark):
 def test_render():
     assert render.table_of([["a", "b"], ["1"], ["c", "x|y"]]) == "| a | b |\n| --- | --- |\n\n**1**\n\n| c | x\\|y |\n| --- | --- |"
     assert render.latex_tables("x \\begin{tabular}{ll} a & b \\\\ c\\&d & e \\end{tabular}") == "x | a | b |\n| --- | --- |\n| c&d | e |"
-    assert render.markdown([{"type": "heading", "text": "8.6.9 T", "page": 1}, {"type": "text", "text": "t", "page": 2}]) == "<!-- page 1 -->\n\n#### 8.6.9 T\n\n<!-- page 2 -->\n\nt"
+    assert render.markdown([{"type": "heading", "text": "8.6.9 T", "page": 1}, {"type": "text", "text": "t", "page": 2}]) == "<!-- page 1 -->\n\n### 8.6.9 T\n\n<!-- page 2 -->\n\nt"
 
 
 def test_delta_stream():
