@@ -25,7 +25,7 @@ from ..sources.tables import table  # noqa: F401
 #: Bytes of text that a Python worker expands at once.
 SLICE_BYTES = 4 << 20
 #: Bytes of rows that go to a Python worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -34,6 +34,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one made of it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_text(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """The kept columns, then the text (null: empty) as __text."""
     return df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
@@ -71,17 +79,34 @@ def arrow_batch(schema: T.StructType, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, schema=pa.schema([pa.field(f.name, f.type, True) for f in want]))
 
 
-def map_texts(df: DataFrame, keep: str | list[str], text_col: str, fields: str, work, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 14) -> DataFrame:
-    """The kept columns, and work(list of UTF-8 texts) -> list of result columns, over all rows in pieces of bounded size."""
-    keep = [keep] if isinstance(keep, str) else keep
-    src = small_batches(with_text(df, keep, text_col))
-    schema = out_schema(src, keep, fields)
+def text_function(work, fields: str, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 14):
+    """A function of a text column (null: empty) that gives structs of these fields.
+
+    work(list of UTF-8 texts) -> list of result columns, called with texts of
+    bounded size. Only the texts go to Python and only the results come back.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wanted = T.StructType.fromDDL(fields)
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        schema = to_arrow_schema(wanted)
+        for array in arrays:
+            batch = pa.RecordBatch.from_arrays([array], names=["__text"])
+            done = [pa.StructArray.from_arrays(arrow_batch(wanted, work(texts)).columns, fields=list(schema)) for _, texts in slices([batch], max_bytes, max_rows)]
+            yield pa.concat_arrays(done) if done else pa.array([], pa.struct(list(schema)))
 
-    def run(batches):
-        for piece, texts in slices(batches, max_bytes, max_rows):
-            yield arrow_batch(schema, [*(piece.column(c) for c in keep), *work(texts)])
+    # Not deterministic, so that no optimisation evaluates it twice.
+    function = F.arrow_udf(run, wanted).asNondeterministic()
+    return lambda text: function(F.coalesce(text.cast("string"), F.lit("")))
 
-    return src.mapInArrow(run, schema)
+
+def map_texts(df: DataFrame, keep: str | list[str], text_col: str, fields: str, work, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 14) -> DataFrame:
+    """The kept columns, and the fields that work() gives for each text; all of df's columns are at hand for keep."""
+    keep, made = [keep] if isinstance(keep, str) else keep, unused(df, "__made")
+    small_batches(df)
+    found = df.select(*[F.col(f"`{c}`") for c in keep], text_function(work, fields, max_bytes, max_rows)(F.col(f"`{text_col}`")).alias(made))
+    return found.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"{made}.`{f.name}`").alias(f.name) for f in T.StructType.fromDDL(fields).fields])
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int) -> DataFrame:

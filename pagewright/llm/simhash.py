@@ -9,12 +9,16 @@ its smallest one; links are deduplicated and verified, and components follow.
 
 A similarity as low as 0.8 (similar_groups) is beyond any ball: 64 bits differ
 in about ten places. There, bands of least hashes of the shingles (MinHash)
-find the candidates, and their sets of shingles are compared on the texts.
+find the candidates, and their sets of shingles are compared exactly. Each
+bucket's members are first held against its hub, the member that meets most
+others; those that then still belong to different components are held against
+each other, in blocks of bounded size.
 
 Defined cases: null text is the empty text; texts without a word have
 fingerprint zero and are linked like others (their sets of shingles count as
-equal); texts with fewer words than a
-shingle are one shingle; a group whose ids are all null has a null component.
+equal); texts with fewer words than a shingle are one shingle; a group whose
+ids are all null has a null component; repeated rows are copies of each other;
+an empty table gives no rows; columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -33,12 +37,13 @@ from . import common
 from .terms import mix
 
 SHINGLES_AT_ONCE = 1 << 17
-#: A pair of similarity 0.8 shares none of 24 bands of 4 least hashes with probability 3e-6.
-BANDS, ROWS = 24, 4
+#: A pair of similarity 0.8 shares none of 24 bands of 6 least hashes with probability 7e-4, and one of 0.5 shares one with probability 0.3.
+BANDS, ROWS = 24, 6
 FACTORS = np.random.default_rng(80).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-SUMMANDS = np.random.default_rng(81).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 #: Bytes of text sketched at once, so that the hashes stay in the processor's cache.
 SKETCHED_BYTES = 1 << 19
+#: Members of a bucket, and bytes of them, that are held against each other in one task; larger buckets are cut into blocks.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 
 
 def least_equal(similarity: float) -> int:
@@ -117,103 +122,159 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(labels, "fp").select(id_col, "fp", "component_id")
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes; of a text without a word the one hash 0."""
+    found = hashes(text, words).astype(np.uint64)
+    return np.unique(found) if len(found) else np.zeros(1, np.uint64)
+
+
 def sketches(texts: list[bytes], words: int) -> list[list]:
-    """Columns key (a digest of the set of shingles), bands and sketch (least hashes) of each text; a text without a word has the set of the one hash 0."""
-    sets = [np.unique(h) if len(h := hashes(t, words).astype(np.uint64)) else np.zeros(1, np.uint64) for t in texts]
+    """Columns key (a digest of the set of shingles), shingles (their number), bands and sketch (least hashes) of each text."""
+    sets = [shingle_set(t, words) for t in texts]
     starts = np.cumsum([0, *map(len, sets[:-1])])
     h = mix(np.concatenate(sets))
     least = np.empty((len(texts), len(FACTORS)), np.uint32)
     for j, factor in enumerate(FACTORS):
-        least[:, j] = np.minimum.reduceat(mix(h * factor + SUMMANDS[j]), starts) & np.uint64(0xFFFFFFFF)
+        least[:, j] = np.minimum.reduceat(h * factor, starts) >> np.uint64(32)
     digest = xxhash.xxh64_intdigest
     bands = [[int(np.int64(np.uint64(digest(row[ROWS * i : ROWS * (i + 1)].tobytes(), i)))) for i in range(BANDS)] for row in least]
-    return [[hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], bands, [row.tobytes() for row in least]]
+    return [[hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], [len(x) for x in sets], bands, [row.tobytes() for row in least]]
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(b) < similarity * len(a):
+        return False
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    met = int((a[at] == b).sum())
+    return met >= similarity * (len(a) + len(b) - met)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have at least that Jaccard similarity; texts: kind, __text."""
-    ends = lambda x: texts.select(F.col("kind").alias(x), F.col("__text").cast("binary").alias(f"text_{x}"))
+    """The pairs (a, b) whose sets of shingles are similar enough; texts: kind, text. Best with few different a."""
+    ends = lambda x: texts.select(F.col("kind").alias(x), F.col("text").cast("binary").alias(f"text_{x}"))
 
-    def similar(batches):
-        held, first = None, set()
+    def run(batches):
+        held, first = None, None
         for batch in batches:
-            a, b, text_a, text_b = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
+            a, text_a, text_b = (batch.column(c) for c in ("a", "text_a", "text_b"))
             kept = []
             for i in range(len(batch)):
                 if a[i].as_py() != held:
-                    held, first = a[i].as_py(), set(shingles(text_a[i].as_py(), words))
-                other = set(shingles(text_b[i].as_py(), words))
-                met = len(first & other)
-                if met >= similarity * (len(first) + len(other) - met):
+                    held, first = a[i].as_py(), shingle_set(text_a[i].as_py(), words)
+                if similar(first, shingle_set(text_b[i].as_py(), words), similarity):
                     kept.append(i)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
-    return pairs.join(ends("b"), "b").join(ends("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a bigint, b bigint")
+    both = common.small_batches(pairs).join(ends("b"), "b").join(ends("a"), "a").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def links_of(kinds: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): verified links that keep every component of the pairs which share a band. kinds: kind, bands, sketch.
+def buckets(kinds: DataFrame) -> DataFrame:
+    """band, bucket, kind, hub, parts of the members of buckets with several; kinds: kind, shingles, bands.
 
-    Each bucket's members are held against its first one. Members that are then
-    still in different components are held against each other, all of them:
-    their sketches first, and what those don't rule out on the texts.
+    hub: the member that meets most others, over all bands (of equal ones the
+    smallest); parts: into how many blocks the bucket is to be cut.
     """
-    bucket = Window.partitionBy("bucket")
-    each = kinds.select("kind", F.explode("bands").alias("bucket"))
-    members = common.stored(each.withColumn("first", F.min("kind").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("n > 1").drop("n"), "members")
-    stars = members.where("kind > first").select(F.col("first").alias("a"), F.col("kind").alias("b")).distinct()
+    each = kinds.select("kind", "shingles", F.posexplode("bands").alias("band", "bucket"))
+    sizes = each.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("shingles").alias("bytes")).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(8 * F.col("bytes") / BLOCK_BYTES))
+    shared = common.stored(each.join(sizes, ["band", "bucket"]).select("band", "bucket", "kind", "n", parts.alias("parts")), "shared")
+    met = shared.groupBy("kind").agg(F.sum("n").alias("met"))
+    hubs = shared.join(met, "kind").groupBy("band", "bucket").agg(F.max_by("kind", F.struct("met", -F.col("kind"))).alias("hub"))
+    members = common.stored(shared.join(hubs, ["band", "bucket"]).select("band", "bucket", "kind", "hub", "parts"), "members")
+    common.dropped(shared)
+    return members
+
+
+def links_of(kinds: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): verified links that keep every component of the pairs which share a band. kinds: kind, shingles, bands, sketch; texts: kind, text."""
+    members = buckets(kinds)
+    stars = members.where("kind <> hub").select(F.col("hub").alias("a"), F.col("kind").alias("b")).distinct()
     links = common.stored(verified(stars, texts, words, similarity), "stars")
-    placed = members.where("kind > first").join(components(links).withColumnRenamed("node", "kind"), "kind", "left").withColumn("component", F.coalesce("component", "kind"))
-    apart = placed.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low < high")
-    apart = apart.join(kinds.select("kind", "sketch"), "kind").select("bucket", "kind", "component", "sketch")
-    least = least_equal(similarity)
-
-    def meet(table):
-        kind, part = table.column("kind").to_numpy(), table.column("component").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(len(kind), -1)
-        a, b = [], []
-        for i in range(len(kind) - 1):
-            later = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
-            like = later[(sketch[later] == sketch[i]).sum(axis=1) >= least]
-            a.append(np.minimum(kind[like], kind[i]))
-            b.append(np.maximum(kind[like], kind[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    rest = common.stored(apart.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct(), "rest")
-    links = links.unionByName(common.stored(verified(rest, texts, words, similarity), "others"))
-    return links
+    placed = members.join(components(links).withColumnRenamed("node", "kind"), "kind", "left").withColumn("component", F.coalesce("component", "kind"))
+    placed = common.stored(placed.select("band", "bucket", "kind", "component", "parts"), "placed")
+    common.dropped(members)
+    several = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "bucket")
+    apart = common.stored(placed.join(several, ["band", "bucket"]), "apart")
+    common.dropped(placed)
+    held = kinds.join(apart.select("kind").distinct(), "kind", "left_semi").select("kind", "sketch").join(texts.select("kind", "text"), "kind")
+    held = common.stored(common.map_texts(held, ["kind", "sketch"], "text", "shingle_set binary", lambda t: [[shingle_set(x, words).tobytes() for x in t]]), "held")
+    # Each member goes to the tasks of its own block with every other block of its bucket.
+    own = F.pmod(F.xxhash64("kind"), F.col("parts"))
+    dealt = apart.select("band", "bucket", "kind", "component", own.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("band", "bucket", "kind", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    rows = dealt.join(held, "kind").select("band", "bucket", "i", "j", "kind", "component", "part", "sketch", "shingle_set")
+    found = rows.groupBy("band", "bucket", "i", "j").applyInArrow(lambda t: met_in_block(t, similarity), "a bigint, b bigint")
+    return links.unionByName(common.stored(found.distinct(), "others"))
+
+
+def met_in_block(table: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): links between the members of one block, or of two blocks, of a bucket.
+
+    Pairs are skipped that are already connected, belong to another task (both
+    in one of two blocks), meet in an earlier band, or whose sketches have too
+    few equal hashes (four standard deviations below the mean).
+    """
+    band, two = table.column("band")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
+    kind, part, label = (table.column(c).to_numpy() for c in ("kind", "part", "component"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(len(kind), -1)
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingle_set").to_pylist()]
+    size, least = np.array([len(x) for x in sets]), least_equal(similarity)
+    label = label.copy()
+    a, b = [], []
+    for i in range(len(kind) - 1):
+        later = np.arange(i + 1, len(kind))
+        later = later[(label[later] != label[i]) & ((part[later] != part[i]) if two else True) & (np.minimum(size[later], size[i]) >= similarity * np.maximum(size[later], size[i]))]
+        equal = sketch[later] == sketch[i]
+        bands = equal.reshape(len(later), BANDS, ROWS).all(axis=2)
+        for k in later[(equal.sum(axis=1) >= least) & bands[:, band] & ~bands[:, :band].any(axis=1)].tolist():
+            if label[k] != label[i] and similar(sets[i], sets[k], similarity):
+                label[label == label[k]] = label[i]
+                a.append(min(kind[i], kind[k]))
+                b.append(max(kind[i], kind[k]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """row (a number of each row), id, component: equal for the texts that links of at least `similarity` connect."""
-    return groups_of(numbered(df.select(id_col, text_col)), id_col, text_col, words, similarity)
+    rows, number = numbered(df.select(id_col, text_col))
+    return groups_of(rows, number, id_col, text_col, words, similarity)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df and __row, written once: the numbers follow how Spark cuts the input, which may differ between two scans."""
-    return common.stored(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a number for each row, written once, and that column's name: the numbers follow how Spark cuts the input, which may differ between two scans."""
+    number = common.unused(df, "__row")
+    return common.stored(df.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
 
 
-def groups_of(source: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+def groups_of(rows: DataFrame, number: str, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """similar_groups() of rows that numbered() wrote."""
-    rows = source.select(F.col("__row").alias("row"), id_col, text_col)
+    source = rows.select(F.col(number).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     work = lambda texts: sketches(texts, words)
-    docs = common.stored(common.map_texts(rows, ["row", id_col], text_col, "key binary, bands array<bigint>, sketch binary", work, SKETCHED_BYTES), "sketches")
-    kinds = common.stored(docs.groupBy("key").agg(F.min(F.struct("row", "bands", "sketch")).alias("x")).select("key", F.col("x.row").alias("kind"), "x.bands", "x.sketch"), "kinds")
-    texts = common.with_text(source, ["__row"], text_col).withColumnRenamed("__row", "kind")
+    docs = common.stored(common.map_texts(source, ["row", "id"], "text", "key binary, shingles bigint, bands array<bigint>, sketch binary", work, SKETCHED_BYTES), "sketches")
+    least = common.stored(docs.groupBy("key").agg(F.min("row").alias("kind")), "least")
+    kinds = common.stored(docs.join(least.select("kind"), F.col("row") == F.col("kind")).select("kind", "shingles", "bands", "sketch"), "kinds")
+    texts = source.select(F.col("row").alias("kind"), "text")
     linked = components(links_of(kinds, texts, words, similarity)).withColumnRenamed("node", "kind")
-    labels = common.stored(kinds.join(linked, "kind", "left").select("key", F.coalesce("component", "kind").alias("component")), "labels")
-    return docs.join(labels, "key").select("row", id_col, "component")
+    labels = common.stored(least.join(linked, "kind", "left").select("key", F.coalesce("component", "kind").alias("component")), "labels")
+    found = common.stored(docs.select("row", "id", "key").join(labels, "key").select("row", "id", "component"), "groups")
+    for x in (docs, least, kinds, labels):
+        common.dropped(x)
+    return found.withColumnRenamed("id", id_col) if id_col != "id" else found
 
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df, all columns, but of each group only the one with the smallest id (of repeated rows the first)."""
-    rows = numbered(df)
-    found = common.stored(groups_of(rows, id_col, text_col, words, similarity), "groups")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "row")).alias("first"))
-    kept = common.stored(first.select(F.col("first.row").alias("__row")), "kept")
-    dropped = common.stored(found.select(F.col("row").alias("__row")).join(kept, "__row", "left_anti"), "dropped")
-    return rows.join(dropped, "__row", "left_anti").drop("__row")
+    rows, number = numbered(df)
+    found = groups_of(rows, number, id_col, text_col, words, similarity).toDF("row", "id", "component")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("first"))
+    kept = common.stored(first.select(F.col("first.row").alias(number)), "kept")
+    dropped = common.stored(found.select(F.col("row").alias(number)).join(kept, number, "left_anti"), "dropped")
+    common.dropped(found)
+    return rows.join(dropped, number, "left_anti").drop(number)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

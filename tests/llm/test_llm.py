@@ -132,9 +132,10 @@ def test_all_members_of_a_bucket_meet(spark):
     w = [[f"w{x}" for x in rng.integers(0, 5000, 300)] for _ in range(2)]
     texts = [w[0][:150] + w[1][150:], w[1], w[0], altered(rng, w[1], 0.01)]
     texts = [" ".join(t) for t in texts]
-    sketch = simhash.sketches([t.encode() for t in texts], 5)[2]
-    kinds = spark.createDataFrame([(i, [7], bytearray(x)) for i, x in enumerate(sketch)], "kind long, bands array<bigint>, sketch binary")
-    found = simhash.links_of(kinds, spark.createDataFrame(list(enumerate(texts)), "kind long, __text string"), 5, 0.8)
+    _, sizes, bands, sketch = simhash.sketches([t.encode() for t in texts], 5)
+    bands[0][0] = bands[1][0] = bands[2][0] = bands[3][0] = 7
+    kinds = spark.createDataFrame([(i, n, b, bytearray(x)) for i, (n, b, x) in enumerate(zip(sizes, bands, sketch, strict=True))], "kind long, shingles long, bands array<bigint>, sketch binary")
+    found = simhash.links_of(kinds, spark.createDataFrame(list(enumerate(texts)), "kind long, text string"), 5, 0.8)
     assert {tuple(r) for r in found.collect()} == {(1, 3)}
 
 
