@@ -2,38 +2,54 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of applications without one.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a fresh folder where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset a fresh folder of this machine, which only a local master can share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pagewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        name = spark.sparkContext.applicationId
+        found = _own[name] = _own.get(name) or "file://" + tempfile.mkdtemp(prefix="pagewright-")
     return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/pagewright/{kind}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/pagewright/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
+def stored(df: DataFrame, kind: str, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back."""
     spark = df.sparkSession
     path = shared_path(spark, kind)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by stored(), once nothing reads it any more."""
-    spark = df.sparkSession
     for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if "/pagewright/" in path.toString():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = f.rpartition("/")[0]
+        if "/pagewright/" in path:
+            _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application has in the shared folder, at its end: results that still read them fail afterwards."""
+    _delete(spark, shared_path(spark, "x").rpartition("/")[0])

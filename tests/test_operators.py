@@ -1,5 +1,7 @@
 """Operators on small hand-made rows."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,20 @@ def test_markdown_blocks(spark):
     assert got == [(f"p1-b{i}", *w) for i, w in enumerate(want)]
 
 
+def test_shared_tables(spark, tmp_path, monkeypatch):
+    from pagewright.sources import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda s: f"file://{tmp_path}")
+    kept, gone = (shared.stored(spark.range(n), "x", "zstd") for n in (3, 5))
+    assert (kept.count(), gone.count()) == (3, 5)
+    files = lambda: {p.parent for p in tmp_path.rglob("*.parquet")}
+    assert len(files()) == 2
+    shared.dropped(gone)
+    assert len(files()) == 1 and kept.count() == 3
+    shared.clean(spark)
+    assert not files()
+
+
 def test_resectioning(spark):
     rows = [("heading", "3.1"), ("heading", "Title"), ("text", "a"), ("heading", "Noise"), ("text", "b"), ("heading", "4 Next  one"), ("text", "c")]
     df = spark.createDataFrame([(1, i, k, t, "old") for i, (k, t) in enumerate([("text", "before"), *rows])], "doc int, pos int, type string, text string, section string")
