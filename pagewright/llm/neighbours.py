@@ -11,14 +11,18 @@ nodes) and repeatedly expands the nearest unexpanded nodes of its beam along
 the graph, until the beam has none. Distances of the result are computed anew
 in double precision on the original vectors.
 
-Defined cases: vectors that are null, zero, of another length than most, or
-hold null or non-finite components take no part, as query or candidate; ties go
-to the smaller id; of repeated ids each row counts as a candidate; empty
-tables give empty results.
+exact() holds the same queries against all rows, to measure recall.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite
+components take no part, as query or candidate; vectors of different lengths
+have no distance, so that each length has a graph of its own; ties go to the
+smaller id; of repeated ids each row counts as a candidate; a query with fewer
+candidates than asked for gets them all; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -32,18 +36,17 @@ from . import common
 
 @dataclass(frozen=True)
 class Settings:
-    """degree: neighbours kept; leaves: forests of the start; leaf: most nodes of a leaf; offers: of one introduction, kept for a node; rounds: beyond which it is an error not to have converged; pivots: at least, as they grow with the root of the table."""
+    """degree: neighbours kept, and so the most that one introduction can add; leaves: forests of the start; leaf: most nodes of a leaf; rounds, hops: beyond which it is an error not to have ended; pivots: at least, as they grow with the root of the table."""
 
     degree: int = 20
     leaves: int = 12
     leaf: int = 1000
-    offers: int = 16
     rounds: int = 100
     enough: float = 0.005
     pivots: int = 512
     beam: int = 384
     expand: int = 96
-    hops: int = 24
+    hops: int = 1000
 
 
 SETTINGS = Settings()
@@ -52,11 +55,9 @@ MET_AT_ONCE = 1 << 20
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, vec array<float> of the rows that take part."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("id is not null and vec is not null and size(vec) > 0")
-    rows = rows.where("forall(vec, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(vec, x -> x <> 0)")
-    lengths = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size("vec") == (lengths[0]["n"] if lengths else 0))
+    """id, vec array<double> of the rows that take part."""
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null and size(vec) > 0")
+    return rows.where("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
 
 
 def nodes_of(rows: DataFrame, most: int) -> DataFrame:
@@ -112,7 +113,7 @@ def first_edges(vectors: DataFrame, count: int, s: Settings) -> DataFrame:
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
         return pa.Table.from_batches([_rows(np.repeat(node, k), node[near].ravel(), np.take_along_axis(d, near, axis=1).ravel())])
 
-    coded_rows = vectors.select("node", "vec").mapInArrow(coded, "tree int, code bigint, node bigint, vec array<float>")
+    coded_rows = vectors.select("node", F.col("vec").cast("array<float>").alias("vec")).mapInArrow(coded, "tree int, code bigint, node bigint, vec array<float>")
     sizes = coded_rows.groupBy("tree", "code").count()
     leaves = coded_rows.join(sizes, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("count") / s.leaf)))
     found = leaves.select("tree", "code", "part", "node", "vec").groupBy("tree", "code", "part").applyInArrow(joined, _EDGE)
@@ -123,7 +124,7 @@ def introduced(known: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
     """Pairs of neighbours of one node that are closer than the first one's farthest neighbour."""
     worst = known.groupBy("node").agg(F.when(F.count("*") >= s.degree, F.max("d")).otherwise(float("inf")).alias("worst"))
     near = known.select("node", "nbr").union(known.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
-    guests = vectors.select(F.col("node").alias("nbr"), "vec").join(worst.withColumnRenamed("node", "nbr"), "nbr")
+    guests = vectors.select(F.col("node").alias("nbr"), F.col("vec").cast("array<float>").alias("vec")).join(worst.withColumnRenamed("node", "nbr"), "nbr")
     met = near.join(guests, "nbr").select("node", "nbr", "worst", "vec").repartition("node").sortWithinPartitions("node")
 
     def meet(batches):
@@ -156,7 +157,7 @@ def introduced(known: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
     def hub(table):
         """block() for the one host of many guests, some guests at a time."""
         guest, bound, x = table.column("nbr").to_numpy(), table.column("worst").to_numpy(), matrix(table.column("vec").combine_chunks())
-        n, k, step = (x * x).sum(axis=1), min(s.offers, len(guest)), max(1, MET_AT_ONCE // len(guest))
+        n, k, step = (x * x).sum(axis=1), min(s.degree, len(guest)), max(1, MET_AT_ONCE // len(guest))
         for i in range(0, len(guest), step):
             d = np.maximum(n[i : i + step, None] + n[None, :] - 2 * (x[i : i + step] @ x.T), 0)
             d[(guest[i : i + step, None] == guest[None, :]) | (d >= bound[i : i + step, None])] = np.inf
@@ -179,7 +180,7 @@ def introduced(known: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
         x[group, place] = vec
         d = squared(x)
         d[(guest[:, :, None] == guest[:, None, :]) | (guest[:, None, :] < 0) | (d >= bound[:, :, None])] = np.inf
-        k = min(s.offers, m)
+        k = min(s.degree, m)
         best = np.argpartition(d, k - 1, axis=2)[:, :, :k]
         value = np.take_along_axis(d, best, axis=2)
         g, a, b = np.nonzero(np.isfinite(value))
@@ -247,11 +248,61 @@ def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, s: Settings
         beam = grown
         if not beam.where("not done").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"searches go on after {s.hops} hops")
     return beam.select("query", "node", "d")
 
 
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, id, score of the k nearest rows found (query_id, id, d)."""
+    order = Window.partitionBy("query_id").orderBy("d", "id")
+    return found.select("query_id", F.row_number().over(order).alias("rank"), "id", F.col("d").alias("score")).where(F.col("rank") <= k)
+
+
 def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, s: Settings = SETTINGS) -> DataFrame:
     """query_id, rank, id, score of the k nearest rows (id, vec) found for each query (id, vec), its own id left out."""
+    lengths = [r["n"] for r in queries.select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]
+    of = lambda df, n: df.where(F.size("vec") == n)
+    found = [found_for(of(rows, n), of(queries, n), k, s) for n in lengths]
+    return functools.reduce(DataFrame.unionByName, found) if found else ranked(rows.selectExpr("id as query_id", "id", "0D as d").limit(0), k)
+
+
+EXACT_ROWS = 50_000
+
+
+def exact(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """nearest_neighbours() by holding the stated queries against all rows, in blocks of both."""
+    parts = max(1, -(-rows.count() // EXACT_ROWS))
+    dealt = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+    asked = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("asked"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
+
+    def wide(column):
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def met(left, right):
+        ids, x, names, q = left.column("id").to_numpy(), wide(left.column("vec")), right.column("query_id").to_numpy(), wide(right.column("asked"))
+        out = []
+        for name, v in zip(names.tolist(), q, strict=True):
+            d = np.sqrt(np.concatenate([((x[i : i + 4096] - v) ** 2).sum(axis=1) for i in range(0, len(x), 4096)]))
+            d[ids == name] = np.inf
+            best = np.lexsort((ids, d))[:k]
+            best = best[np.isfinite(d[best])]
+            out.append(_rows(np.full(len(best), name), ids[best], d[best]).rename_columns(["query_id", "id", "d"]))
+        return pa.Table.from_batches(out)
+
+    def meet(left, right):
+        if len(left) and len(right):
+            return met(left, right)
+        return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+
+    found = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(meet, "query_id bigint, id bigint, d double")
+    near = ranked(found, k).select("query_id", "id")
+    ends = near.join(rows.withColumnRenamed("vec", "there"), "id").join(queries.select(F.col("id").alias("query_id"), "vec").dropDuplicates(["query_id"]), "query_id")
+    return ranked(ends.select("query_id", "id", distance("vec", "there").alias("d")), k)
+
+
+def found_for(rows: DataFrame, queries: DataFrame, k: int, s: Settings) -> DataFrame:
+    """nearest_neighbours() of vectors of one length."""
     nodes = common.stored(nodes_of(rows, k + 1), "nodes")
     graph = build(nodes, s)
     asked = common.stored(queries.groupBy("vec").agg(F.min("id").alias("query")), "asked")
@@ -259,9 +310,7 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, s: Sett
     near = beam.join(nodes, "node").join(asked.withColumnRenamed("vec", "asked"), "query").select("query", distance("asked", "vec").alias("d"), F.explode("members").alias("id"))
     near = common.stored(nearest(near, k + 1, "query", "id"), "near")
     each = queries.select(F.col("id").alias("query_id"), "vec").join(asked, "vec").select("query_id", "query")
-    out = each.join(near, "query").where("id <> query_id")
-    order = Window.partitionBy("query_id").orderBy("d", "id")
-    return out.select("query_id", F.row_number().over(order).alias("rank"), "id", F.col("d").alias("score")).where(F.col("rank") <= k)
+    return ranked(each.join(near, "query").where("id <> query_id"), k)
 
 
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
