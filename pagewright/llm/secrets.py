@@ -1,11 +1,12 @@
 """Secret scan through a trigram inverted index.
 
 Each rule's regex is parsed into a Boolean query over trigrams that any match
-must contain. A segment (a bounded piece of the table) gets an inverted index
-of the lower-cased trigrams that the queries mention; postings are intersected
-and united, and only the surviving texts are matched with the regex. Rules
-without mandatory trigrams scan every text. Segments are independent, so
-nothing is shuffled and a lost executor costs only its own segments.
+must contain. A segment (a bounded piece of the table) gets an inverted index:
+one pass numbers the trigrams of all its lower-cased texts, and those that some
+query mentions become postings of text numbers. Postings are intersected and
+united, and only the surviving texts are matched with the regex. Rules without
+mandatory trigrams scan every text. Segments are independent, so nothing is
+shuffled and a lost executor costs only its own segments.
 
 Defined cases: null text is the empty text (no spans); offsets are code points
 of the whole text; overlapping spans of different kinds are all kept; repeated
@@ -62,6 +63,8 @@ RULES = BASE_RULES + MORE_RULES
 
 #: A query: True (any text), a trigram, ("and", queries) or ("or", queries).
 MOST_STRINGS = 64
+#: Trigrams that are numbered at once.
+INDEXED_AT_ONCE = 1 << 18
 
 
 def _all_of(parts: list):
@@ -75,8 +78,9 @@ def _any_of(parts: list):
 
 
 def _grams(s: str):
+    """Trigrams beyond ASCII aren't asked for, as texts are lower-cased and indexed by bytes."""
     s = s.lower()
-    return _all_of([s[i : i + 3] for i in range(len(s) - 2)])
+    return _all_of([s[i : i + 3] for i in range(len(s) - 2) if s[i : i + 3].isascii()])
 
 
 def _members(av) -> set[str] | None:
@@ -155,16 +159,37 @@ def query_grams(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(query_grams, query[1]))
 
 
+@lru_cache(maxsize=4)
+def _numbers(grams: tuple[str, ...]) -> np.ndarray:
+    """[trigram as a 24-bit number]: its place in grams, from 1; 0 for all others."""
+    out = np.zeros(1 << 24, np.uint8 if len(grams) < 256 else np.uint16)
+    for i, g in enumerate(grams, 1):
+        out[int.from_bytes(g.encode(), "big")] = i
+    return out
+
+
 class Segment:
     """Inverted index of a piece of the table: trigram -> sorted row numbers."""
 
     def __init__(self, texts: list[bytes], grams: set[str]):
-        self.n = len(texts)
-        lowered = [t.lower() for t in texts]
-        self.postings = {}
-        for g in grams:
-            b = g.encode()
-            self.postings[g] = np.fromiter((i for i, t in enumerate(lowered) if b in t), dtype=np.int64)
+        self.n, order = len(texts), tuple(sorted(grams))
+        self.postings = {g: np.zeros(0, np.int64) for g in order}
+        data = np.frombuffer(b"".join(texts).lower(), np.uint8)
+        if len(data) < 3 or not order:
+            return
+        ends, numbers, found = np.cumsum([len(t) for t in texts]), _numbers(order), []
+        for start in range(0, len(data) - 2, INDEXED_AT_ONCE):
+            part = data[start : start + INDEXED_AT_ONCE + 2].astype(np.uint32)
+            number = numbers[(part[:-2] << 16) | (part[1:-1] << 8) | part[2:]]
+            at = np.flatnonzero(number)
+            row = np.searchsorted(ends, at + start, side="right")
+            inside = at + start + 2 < ends[row]
+            found.append(np.unique(number[at[inside]].astype(np.int64) * self.n + row[inside]))
+        pairs = np.unique(np.concatenate(found))
+        which, rows = pairs // self.n, pairs % self.n
+        for i, g in enumerate(order, 1):
+            low, high = np.searchsorted(which, (i, i + 1))
+            self.postings[g] = rows[low:high]
 
     def rows(self, query) -> np.ndarray:
         if query is True:
