@@ -100,15 +100,17 @@ def fit(texts: list[bytes], labels: list[int], s: Settings = SETTINGS) -> bytes:
 class Voter:
     def __init__(self, model: bytes):
         m = np.load(io.BytesIO(model))
-        self.idf, self.v, self.known, self.y, self.k = m["idf"], m["v"], m["known"], m["y"], int(m["k"])
+        self.idf, self.v, self.known, self.y, self.k = m["idf"], m["v"].astype(np.float64), m["known"].astype(np.float64), m["y"], int(m["k"])
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not len(self.y):
             return np.zeros(len(texts))
-        cosines = unit(weighted(counts(texts), self.idf) @ self.v) @ self.known.T
-        k = min(self.k, len(self.y))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64)
+        # In double precision and rounded, so that cosines don't depend on the block; of equal ones the earlier row counts.
+        cosines = np.rint(unit(weighted(counts(texts), self.idf).astype(np.float64) @ self.v) @ self.known.T * 1e6)
+        k, n = min(self.k, len(self.y)), len(self.y)
+        place = cosines.astype(np.int64) * n - np.arange(n)
+        near = np.sort(np.argpartition(-place, k - 1, axis=1)[:, :k], axis=1)
+        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0) / 1e6
         total = weight.sum(axis=1)
         return np.clip(np.divide((weight * self.y[near]).sum(axis=1), total, out=np.zeros(len(texts)), where=total > 0), 0, 1)
 

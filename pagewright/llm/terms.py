@@ -15,16 +15,42 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes that are hashed at once.
+BLOCK = 1 << 18
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """_BASE and its inverse to the powers 0 to BLOCK - 1."""
+
     def all_of(base):
-        out = np.full(n, base, dtype=np.uint64)
+        out = np.full(BLOCK, base, dtype=np.uint64)
         out[0] = 1
         return np.cumprod(out, dtype=np.uint64)
 
     return all_of(_BASE), all_of(_BASE_INVERSE)
 
 
+def _scales(base: int, n: int) -> np.ndarray:
+    """base to the powers BLOCK * (0 to n - 1)."""
+    out = np.full(n, pow(base, BLOCK, 1 << 64), dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _sums_before(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sums of (byte + 1) * _BASE^place over the bytes before each of the sorted places, modulo 2^64."""
+    up, out, total, low = _powers()[0], np.zeros(len(places), np.uint64), np.uint64(0), 0
+    scales = _scales(_BASE, len(data) // BLOCK + 1)
+    for k, start in enumerate(range(0, len(data), BLOCK)):
+        part = data[start : start + BLOCK]
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)))
+        high = int(np.searchsorted(places, start + len(part), side="right"))
+        out[low:high] = total + sums[places[low:high] - start] * scales[k]
+        total, low = total + sums[-1] * scales[k], high
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -41,15 +67,12 @@ def hashed_words(texts: list[bytes], kinds: bytes = WORD_BYTES, collapse: bool =
     if collapse and len(data):
         where = np.flatnonzero(np.concatenate(([True], data[1:] != data[:-1])))
         data = data[where]
-    inside = np.concatenate(([False], data != 0x20, [False]))
-    starts = np.flatnonzero(inside[1:] & ~inside[:-1])
-    stops = np.flatnonzero(~inside[1:] & inside[:-1])
-    size = 1 << max(12, int(len(data)).bit_length())
-    up, down = _powers(size)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
+    edges = np.flatnonzero(np.diff(data != 0x20, prepend=False, append=False))
+    starts, stops = edges[::2], edges[1::2]
     if longest:
         stops = np.minimum(stops, starts + longest)
-    words = mix((sums[stops] - sums[starts]) * down[starts])
+    down = _powers()[1][starts % BLOCK] * _scales(_BASE_INVERSE, len(data) // BLOCK + 1)[starts // BLOCK]
+    words = mix((_sums_before(data, stops) - _sums_before(data, starts)) * down)
     return words, np.searchsorted(ends_of_texts, starts if where is None else where[starts], side="right")
 
 
