@@ -3,7 +3,9 @@
 encode() lays each byte of a payload down as one quantised coefficient of a
 4:2:0 picture (64 to a block; DC as byte - 128, AC by sign and a magnitude of
 128 to 255) and writes it in scans: a spectral selection of first scans with the
-upper bits, then successive approximation of the lower ones, a bit at a time. Files are ordinary
+seven upper bits, whose code words fill whole bytes (so that a table of files
+compresses about as well as one of texts), then successive approximation of the
+lowest one. Files are ordinary
 progressive JPEGs; a comment holds the number of bytes.
 
 decode() accumulates the scans of any Huffman-coded 8-bit progressive JPEG of
@@ -12,6 +14,10 @@ code words have one length, and correction bits of end-of-band runs, are taken
 from the bit array at once; other code words one by one. The inverse transform
 is a matrix product, chroma is upsampled, and RGB tensors have full resolution.
 
+Payloads over FRAME_BYTES are several files, one after another, and their
+tensor the files' tensors one after another, so that what a task expands at
+once is bounded however long a text is.
+
 Defined cases: null text is the empty text; an empty payload is one block of
 zeros; equal texts give equal files and tensors; a file that breaks off or isn't
 a progressive JPEG raises ValueError.
@@ -48,8 +54,10 @@ def _inverse_transform() -> np.ndarray:
 
 INVERSE = _inverse_transform()
 
+#: Bytes of a payload that one file holds at most; a multiple of 64.
+FRAME_BYTES = 1 << 20
 #: Bits that successive approximation adds, one by one, to those of the first scans.
-LOWER = 2
+LOWER = 1
 UPPER = 8 - LOWER
 #: Huffman tables of encode(): code lengths and symbols. Every DC word has UPPER + 1 bits with its extra bits, and so has every word of an AC first scan.
 _DC, _AC, _EOB = ({UPPER + 1 - s: [s] for s in range(UPPER, -1, -1)}, {1: [UPPER]}, {4: [n << 4 for n in range(15)]})
@@ -83,7 +91,7 @@ def _scan(components: tuple[int, ...], dc: int, ac: int, band: tuple[int, int],
     return _segment(0xDA, header) + np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=64)
 def _mcu_order(rows: int, cols: int) -> np.ndarray:
     """Number of each block (all luma by row, then Cb, then Cr) in the order of an interleaved 4:2:0 scan."""
     mcu = np.arange(rows * cols).reshape(rows, cols)
@@ -171,6 +179,7 @@ class Picture:
     components: list[Component]
     quant: dict[int, np.ndarray]
     comment: bytes
+    size: int = 0  # bytes of the file
 
 
 class Codes:
@@ -392,7 +401,7 @@ def read_coefficients(data: bytes) -> Picture:
             at = end
     if p is None:
         raise ValueError("no frame")
-    p.comment = comment
+    p.comment, p.size = comment, at + 2
     return p
 
 
@@ -422,37 +431,61 @@ def payload_of(p: Picture) -> bytes:
     return out.astype(np.uint8).tobytes()[: max(64, -(-n // 64) * 64)]
 
 
+def frames_of(data: bytes) -> bytes:
+    """The files that store a payload of any length."""
+    return b"".join(encode(data[i : i + FRAME_BYTES]) for i in range(0, max(1, len(data)), FRAME_BYTES))
+
+
+def pictures(media: bytes):
+    """The pictures of files that stand one after another, each read when it is asked for."""
+    at = 0
+    while at < len(media):
+        p = read_coefficients(media[at:] if at else media)
+        at += p.size
+        yield p
+
+
 def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, media: the file that stores the text's UTF-8 bytes."""
-    return common.map_texts(df, id_col, text_col, "n_bytes bigint, media binary", lambda texts: [[len(t) for t in texts], [encode(t) for t in texts]])
+    return common.map_texts(df, id_col, text_col, "n_bytes bigint, media binary", lambda texts: [[len(t) for t in texts], [frames_of(t) for t in texts]])
+
+
+def decoded(media: bytes) -> tuple:
+    """(payload, height, width, tensor, mean_rgb) of a column's value; of several files height is the sum and width the largest."""
+    payload, tensor, height, width, total = [], [], 0, 0, np.zeros(3)
+    for p in pictures(media):
+        rgb = to_rgb(p)
+        payload.append(payload_of(p))
+        tensor.append(rgb.tobytes())
+        height, width, total = height + p.height, max(width, p.width), total + rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
+    tensor = b"".join(tensor)
+    return b"".join(payload), height, width, tensor, (total / (len(tensor) // 3)).tolist()
 
 
 def decode_column(df: DataFrame, keep: list[str], media_col: str = "media") -> DataFrame:
     """The kept columns, payload, height, width, tensor (RGB bytes by row) and mean_rgb; a null file gives nulls."""
-    src = df.select(*keep, F.col(media_col).alias("__media"))
+    src = common.small_batches(df).select(*keep, F.col(media_col).alias("__media"))
     schema = common.out_schema(src, keep, "payload binary, height int, width int, tensor binary, mean_rgb array<double>")
 
     def run(batches):
         for batch in batches:
             files = batch.column(len(keep))
-            for at in range(0, len(batch), 256):
+            for at in range(0, len(batch), 64):
                 cols = ([], [], [], [], [])
-                for i in range(at, min(at + 256, len(batch))):
+                for i in range(at, min(at + 64, len(batch))):
                     row = (None,) * 5
                     if (data := files[i].as_py()) is not None:
-                        p = read_coefficients(data)
-                        rgb = to_rgb(p)
-                        row = payload_of(p), p.height, p.width, rgb.tobytes(), rgb.reshape(-1, 3).mean(axis=0).tolist()
+                        row = decoded(data)
                     for c, x in zip(cols, row, strict=True):
                         c.append(x)
-                yield common.arrow_batch(schema, [*(batch.column(c).slice(at, 256) for c in keep), *cols])
+                yield common.arrow_batch(schema, [*(batch.column(c).slice(at, 64) for c in keep), *cols])
 
     return src.mapInArrow(run, schema)
 
 
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = encode_column(common.table(spark, sf_dir, "documents"))
-    return decode_column(stored, ["doc_id", "n_bytes", "media"]).select(
+    media = common.stored(encode_column(common.table(spark, sf_dir, "documents")), "media", "zstd")
+    return decode_column(media, ["doc_id", "n_bytes", "media"]).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("bigint").alias("payload_bytes"),

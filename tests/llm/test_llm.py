@@ -333,6 +333,38 @@ def test_jpeg_round_trip(n):
         jpeg.read_coefficients(jpeg.encode(data)[:-40])
 
 
+def test_long_payloads_are_several_files(monkeypatch):
+    monkeypatch.setattr(jpeg, "FRAME_BYTES", 640)
+    for n in (0, 640, 641, 5000):
+        data = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
+        media = jpeg.frames_of(data)
+        payload, height, width, tensor, mean = jpeg.decoded(media)
+        assert payload == data + b"\0" * (max(64, -(-n // 64) * 64) - n) and len(list(jpeg.pictures(media))) == max(1, -(-n // 640))
+        assert len(tensor) <= 3 * height * width and np.allclose(np.frombuffer(tensor, np.uint8).reshape(-1, 3).mean(axis=0), mean)
+
+
+def test_pixels_match_the_formulas_of_the_transform():
+    """Each pixel from its definition: the sum over 64 cosines, nearest chroma block, the colour equations."""
+    data = np.random.default_rng(1).integers(0, 256, 700, dtype=np.uint8).tobytes()
+    p = jpeg.read_coefficients(jpeg.encode(data))
+    rgb = jpeg.to_rgb(p)
+    scale = lambda u: np.sqrt(0.125) if u == 0 else 0.5
+
+    def sample(c, y, x):
+        block = c.coefficients[(y // 8) * c.cols + x // 8] * p.quant[c.quant]
+        total = 0.0
+        for k in range(64):
+            u, v = divmod(int(jpeg.ZIGZAG[k]), 8)
+            total += scale(u) * scale(v) * block[k] * np.cos((2 * (y % 8) + 1) * u * np.pi / 16) * np.cos((2 * (x % 8) + 1) * v * np.pi / 16)
+        return min(255, max(0, round(total + 128)))
+
+    rng = np.random.default_rng(2)
+    for y, x in zip(rng.integers(0, p.height, 60).tolist(), rng.integers(0, p.width, 60).tolist(), strict=True):
+        luma, (cb, cr) = sample(p.components[0], y, x), (sample(c, y // 2, x // 2) - 128 for c in p.components[1:])
+        want = (luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb)
+        assert all(abs(int(a) - min(255, max(0, b))) <= 1.5 for a, b in zip(rgb[y, x], want, strict=True))
+
+
 def words_in_bits(codes, items):
     return np.array([int(b) for s, extra in items for b in codes[s] + extra], np.uint8)
 
