@@ -29,11 +29,12 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/pagewright/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, kind: str, compression: str | None = None) -> DataFrame:
+def stored(df: DataFrame, kind: str, compression: str | None = None, rows_per_file: int = 0) -> DataFrame:
     """Write df to the shared folder and read it back."""
     spark = df.sparkSession
     path = shared_path(spark, kind)
-    (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    write = df.write.option("maxRecordsPerFile", rows_per_file)
+    (write.option("compression", compression) if compression else write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
