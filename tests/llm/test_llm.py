@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -243,11 +244,69 @@ def test_scan_in_spark(spark, documents):
     rows = documents[:60] + [(900, "ab" * 3000), (901, "word " * 2000), (902, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     lib = sentencepieces.pieces(sentencepieces.default_model()).lib
-    ids = sentencepieces.whole(sentencepieces.encode(df, chunk_chars=512))
+    ids = sentencepieces.whole(sentencepieces.encode(df, chunk_chars=512, fan=4))
     assert {r.doc_id: r.ids for r in ids.collect()} == {i: lib.encode(t) for i, t in rows}
     assert {r.doc_id: r.text for r in sentencepieces.decode(ids).collect()} == dict(rows)
 
 
+def unigram_model(path, pieces):
+    """A model file of these (piece, score), with byte fallback and no changes to texts."""
+
+    def field(number, value):
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        key = number << 3 | (2 if isinstance(value, bytes) else 0)
+        head = bytes([key]) if key < 128 else bytes([key & 127 | 128, key >> 7])
+        return head + (bytes([value]) if isinstance(value, int) else (bytes([len(value)]) if len(value) < 128 else bytes([len(value) & 127 | 128, len(value) >> 7])) + value)
+
+    made = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((x, y, 1) for x, y in pieces)]
+    body = b"".join(field(1, field(1, x.encode()) + field(2, y) + field(3, kind)) for x, y, kind in made)
+    path.write_bytes(body + field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1)))
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    rng = np.random.default_rng(20)
+    letters, texts = list("abcdeé▁"), {"▁"}
+    while len(texts) < 150:
+        texts.add("".join(rng.choice(letters, rng.integers(1, 6))))
+    return unigram_model(tmp_path_factory.mktemp("unigram") / "m.model", [(x, float(-rng.uniform(1, 12) * (1 + 0.2 * len(x)))) for x in sorted(texts)])
+
+
+def test_unigram_scan_equals_the_library(spark, unigram):
+    p = sentencepieces.pieces(unigram)
+    assert p.unigram and not p.splits and not sentencepieces.pieces(sentencepieces.default_model()).unigram
+    rng = np.random.default_rng(21)
+    texts = ["".join(rng.choice(list("abcdeéx日 "), rng.integers(0, 600))) for _ in range(120)]
+    score = lambda ids: sum(p.scores.get(p.lib.id_to_piece(i), 0) for i in ids)
+    ids = [(sentencepieces.encode_chunked(t, unigram, 64), p.lib.encode(t)) for t in texts]
+    assert all(abs(score(a) - score(b)) < 1e-6 for a, b in ids) and sum(a != b for a, b in ids) <= 2  # equal pieces in another order
+    rows = list(enumerate([*[t for t, (a, b) in zip(texts, ids, strict=True) if a == b][:10], "", "abcde" * 900]))
+    ids = sentencepieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), model=unigram, chunk_chars=64, fan=3)
+    got = {r.doc_id: (r.ids, r.text) for r in sentencepieces.whole(sentencepieces.decode_chunks(ids, unigram)).collect()}
+    assert got == {i: (p.lib.encode(t), t) for i, t in rows}
+
+
+def test_models_that_change_texts_are_refused(tmp_path):
+    good = unigram_model(tmp_path / "a", [("a", -1.0), ("▁", -2.0)])
+    assert sentencepieces.checked(open(good, "rb").read())
+    data = open(good, "rb").read()
+    for old, new in ((b"\x18\x01\x98\x02\x01", b"\x18\x03\x98\x02\x01"), (b"\x18\x01\x98\x02\x01", b"\x18\x01\x98\x02\x00"), (b"\x18\x01\x20\x00", b"\x18\x01\x20\x01"), (b"\x18\x01\x20\x00", b"\x18\x00\x20\x00")):
+        assert data.count(old) == 1
+        with pytest.raises(ValueError):
+            sentencepieces.checked(data.replace(old, new))
+
+
+def test_decoding_some_ids_at_a_time(monkeypatch):
+    p = sentencepieces.pieces(sentencepieces.default_model())
+    text = "  two words ☃𐍈☃ é\n" * 40
+    ids = np.array(p.lib.encode(text))
+    for n in (1, 2, 7, 10_000):
+        monkeypatch.setattr(sentencepieces, "IDS_AT_ONCE", n)
+        assert p.decode(ids) == text
+
+
 def test_matrices_combine_in_any_order():
     p = sentencepieces.pieces(sentencepieces.default_model())
     text = sentencepieces.normalised("interneronintheringerandon" * 20)
