@@ -206,3 +206,112 @@ def ascii_art(text: Column) -> Column:
     """Two lines with two pipes each, or a box edge."""
     piped = F.size(F.filter(F.split(text, "\n"), lambda x: F.size(F.split(x, r"\|", -1)) > 2))
     return (piped >= 2) | text.rlike(r"\+--|\+-\+")
+
+
+# LaTeX commands that stand in running text: preambles of tables, spanning cells (of which the content stays), broken ones.
+ORPHAN_PREAMBLE = r"\{(?:tabular|tabularx|array|longtable|table|matrix)\}(?:\s*\{[^}]*\})+"
+SPANNING_CELL = r"\\+(?:multicolumn|multirow)\s*\{[^}]*\}\s*\{[^}]*\}\s*\{([^}]*)\}"
+BROKEN_CELL = r"\\+(?:multicolumn|multirow)\b[^\n—]*"
+
+
+def without_orphan_latex(text: Column) -> Column:
+    text = F.regexp_replace(F.regexp_replace(text, ORPHAN_PREAMBLE, ""), SPANNING_CELL, "$1")
+    return F.regexp_replace(text, BROKEN_CELL, "")
+
+
+# What marks module definitions, where one starts, and the words that start a line of their own.
+MODULE_MARKS = (
+    r"(?m)\bDEFINITIONS\s*::=\s*BEGIN\b"
+    r"|\b(?:MODULE-IDENTITY|MODULE-COMPLIANCE|TEXTUAL-CONVENTION|OBJECT-IDENTITY|NOTIFICATION-TYPE|OBJECT-TYPE|OBJECT-GROUP|NOTIFICATION-GROUP)\b\s+\w"
+    r"|::=\s*\{[^}]*\}|\bOBJECT IDENTIFIER\b"
+    r"|\bSYNTAX\s+(?:INTEGER|OCTET STRING|SEQUENCE|BIT STRING|DisplayString|Counter32|Gauge32|Unsigned32|TimeTicks|IpAddress)\b"
+    r"|^\s*--\s+[A-Z*]"
+)
+MODULE_START = r"\b[A-Z][A-Z0-9-]*-MIB\s+DEFINITIONS\s*::=\s*BEGIN\b|\b(?:MODULE-IDENTITY|TEXTUAL-CONVENTION)\b\s+\w"
+MODULE_LINES = (
+    r"\s+(?=(?:MODULE-IDENTITY|MODULE-COMPLIANCE|TEXTUAL-CONVENTION|OBJECT-IDENTITY|OBJECT-TYPE|NOTIFICATION-TYPE|OBJECT-GROUP|NOTIFICATION-GROUP"
+    r"|LAST-UPDATED|ORGANIZATION|CONTACT-INFO|DESCRIPTION|REVISION|REFERENCE|STATUS|SYNTAX|MAX-ACCESS|MIN-ACCESS|ACCESS|UNITS|AUGMENTS|INDEX|DEFVAL|BEGIN|END|FROM|IMPORTS)\s+\S)"
+)
+
+
+def fenced_module(text: Column) -> Column:
+    """Text with a module definition in a fence of its own, one statement to a line; prose before the module's start stays before it."""
+    start = F.regexp_substr(text, F.lit(MODULE_START))
+    prose = F.when(start.isNotNull(), F.call_function("substring_index", text, start, F.lit(1))).otherwise("")
+    code = F.substring(text, F.length(prose) + 1, F.length(text))
+    lines = collapsed_ends(F.regexp_replace(F.regexp_replace(code, MODULE_LINES, "\n"), "  +", " "))
+    kept = F.regexp_replace(prose, f"{SPACE}+$", "")
+    fence = F.concat(F.lit("```asn.1\n"), lines, F.lit("\n```"))
+    return F.when(text.rlike(MODULE_MARKS), F.when(kept != "", F.concat(kept, F.lit("\n\n"), fence)).otherwise(fence)).otherwise(text)
+
+
+def bullet_cells(line: Column) -> Column:
+    """Cells of a bullet line that dashes separate, without empty ones at either end."""
+    body = F.regexp_replace(F.regexp_replace(line, f"^{SPACE}+", ""), "^- ", "")
+    cells = F.transform(F.split(body, f"{SPACE}+—{SPACE}+", -1), collapsed_ends)
+    full = F.filter(F.transform(cells, lambda c, i: F.when(c != "", i)), lambda i: i.isNotNull())
+    return F.when(F.size(full) > 0, F.slice(cells, F.array_min(full) + 1, F.array_max(full) - F.array_min(full) + 1)).otherwise(F.array().cast("array<string>"))
+
+
+def bullet_table(lines: Column) -> Column:
+    """A Markdown table of bullet lines; null if their rows have no common width.
+
+    The commonest width (of equally common ones the first) must be two cells at
+    least, and that of two rows and half of all. A row of one cell between them
+    heads a part of its own, under which the first row is repeated.
+    """
+    rows = F.transform(lines, bullet_cells)
+    sizes = F.filter(F.transform(rows, lambda r: F.size(r)), lambda n: n >= 2)
+    kinds = F.transform(F.array_distinct(sizes), lambda n: F.struct(F.size(F.filter(sizes, lambda m: m == n)).alias("times"), (-F.array_position(sizes, n)).alias("place"), n.alias("n")))
+
+    def table(bound: Column) -> Column:
+        rows, mode = bound["rows"], bound["mode"]
+        width = F.greatest(mode["n"], F.size(rows[0]))
+        shown = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda i: escaped_cell(F.coalesce(F.get(r, i), F.lit("")))), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
+        heads = lambda r: (F.size(r) == 1) & (F.coalesce(F.get(r, F.lit(0)), F.lit("")) != "")
+        body = F.slice(rows, F.lit(2), F.size(rows))
+        top = F.array(shown(rows[0]), rule)
+        line = lambda r, i: F.when(heads(r), F.concat(F.when(i > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("**"), escaped_cell(r[0]), F.lit("**")), F.lit(""))))
+        other = lambda r, i: F.concat(F.when((i == 0) | heads(F.get(body, i - 1)), top).otherwise(F.array().cast("array<string>")), F.array(shown(r)))
+        return F.array_join(F.flatten(F.transform(body, lambda r, i: F.coalesce(line(r, i), other(r, i)))), "\n")
+
+    bound = F.array(F.struct(rows.alias("rows"), F.array_max(kinds).alias("mode")))
+    fits = lambda b: (b["mode"]["times"] >= 2) & (2 * b["mode"]["times"] >= F.size(b["rows"]))
+    return F.get(F.transform(bound, lambda b: F.when(fits(b), collapsed_ends(table(b)))), F.lit(0))
+
+
+def listed(value: Column) -> Column:
+    """The parts of a comma-separated list, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), collapsed_ends), lambda x: x != "")
+
+
+def caption_line(caption: Column) -> Column:
+    """A caption on one line, without bold marks around all of it."""
+    text = collapsed_ends(F.coalesce(caption, F.lit("")))
+    bold = text.startswith("**") & text.endswith("**") & (F.length(text) >= 4)
+    inner = F.when(bold, collapsed_ends(F.substring(text, F.lit(3), F.length(text) - 4))).otherwise(text)
+    return F.when(inner != "", F.replace(inner, F.lit("\n\n"), F.lit("<br>"))).otherwise("(no caption detected)")
+
+
+def titled(title: Column, text: Column) -> Column:
+    """Title and text on lines of their own, whichever there are; a space where there is neither."""
+    some = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    both = F.concat_ws("\n", some(title), some(text))
+    return F.when(collapsed_ends(both) != "", both).otherwise(" ")
+
+
+def looks_binary(content: Column) -> Column:
+    """A zero byte stands among the first 8192."""
+    return F.position(F.lit(b"\0"), F.substring(content, 1, 8192)) > 0
+
+
+def chunk_id(collection: Column, file: Column, number: Column) -> Column:
+    return F.concat_ws(":", collection, file, number.cast("string"))
+
+
+def blob_base(url: Column, revision: Column) -> Column:
+    """Where files of a revision are shown, for the URL of a repository on github.com; null for others."""
+    pattern = r"^https?://github\.com/([^/]+)/([^/.]+)(?:\.git)?/?$"
+    owner, name = (F.regexp_extract(url, pattern, i) for i in (1, 2))
+    return F.when(owner != "", F.concat(F.lit("https://github.com/"), owner, F.lit("/"), name, F.lit("/blob/"), revision))

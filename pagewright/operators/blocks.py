@@ -161,7 +161,7 @@ def normalised_box(x0, y0, x1, y1, width, height, pad: float = 0.0):
 
 
 # Languages of source files by extension.
-LANGUAGES = {"c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "py": "python", "js": "javascript", "ts": "typescript", "go": "go", "rs": "rust", "java": "java", "sh": "bash"}
+LANGUAGES = {"c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "hh": "cpp", "py": "python", "go": "go", "rs": "rust", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "rb": "ruby"}
 
 
 def language_of(path):

@@ -7,10 +7,32 @@ from pyspark.sql import functions as F
 
 
 def retrieval_hits(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """query_id, hit, hit_rank: results (query_id, rank from 1, file) hold one of the expected parts (query_id, parts)."""
-    held = F.exists("parts", lambda p: F.contains(F.col("file"), p))
-    ranks = results.join(expected, "query_id").where(held).groupBy("query_id").agg(F.min("rank").alias("hit_rank"))
-    return expected.select("query_id").distinct().join(ranks, "query_id", "left").select("query_id", F.col("hit_rank").isNotNull().alias("hit"), "hit_rank")
+    """query_id, hit, hit_rank, matched: results (query_id, rank from 1, file) hold one of the expected parts (query_id, parts), in any case."""
+    held = lambda p: F.contains(F.lower("file"), F.lower(p))
+    found = results.join(expected, "query_id").withColumn("held", F.filter("parts", held)).where(F.size("held") > 0)
+    ranks = found.groupBy("query_id").agg(F.min("rank").alias("hit_rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("held")))).alias("matched"))
+    rows = expected.select("query_id").distinct().join(ranks, "query_id", "left")
+    return rows.select("query_id", F.col("hit_rank").isNotNull().alias("hit"), "hit_rank", F.coalesce("matched", F.array().cast("array<string>")).alias("matched"))
+
+
+def top_files(results: DataFrame, most: int = 3) -> DataFrame:
+    """query_id, files: those of the first results, in order."""
+    first = results.where(F.col("rank") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file"))).alias("x"))
+    return first.select("query_id", F.col("x.file").alias("files"))
+
+
+def cited_hits(citations: DataFrame, expected: DataFrame) -> DataFrame:
+    """query_id, hit, matched, cited: expected parts (query_id, parts) that a cited file (query_id, file, with / as __) contains, in any case."""
+    files = citations.groupBy("query_id").agg(F.array_sort(F.collect_list(F.replace(F.coalesce("file", F.lit("")), F.lit("__"), F.lit("/")))).alias("cited"))
+    none = F.array().cast("array<string>")
+    rows = expected.join(files, "query_id", "left").withColumn("cited", F.coalesce("cited", none))
+    matched = F.array_sort(F.array_distinct(F.filter("parts", lambda p: F.exists("cited", lambda c: F.contains(F.lower(c), F.lower(p))))))
+    return rows.select("query_id", (F.size(matched) > 0).alias("hit"), matched.alias("matched"), "cited")
+
+
+def delta_counts(deltas: DataFrame) -> DataFrame:
+    """One row: fixed, regressed, fresh and how many there are."""
+    return deltas.agg(F.count_if(F.col("delta") == "FIXED").alias("fixed"), F.count_if(F.col("delta") == "REGRESSED").alias("regressed"), F.count_if(F.col("delta") == "new").alias("fresh"), F.count("*").alias("n"))
 
 
 def hit_summary(hits: DataFrame) -> DataFrame:

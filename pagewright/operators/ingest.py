@@ -52,3 +52,20 @@ def report(found: DataFrame, chunks: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "unchanged").alias("skipped"),
         F.count_if(F.col("status") != "unchanged").alias("processed"),
     )
+
+
+def first_times(index: DataFrame, order: str = "id") -> DataFrame:
+    """file, mtime: of each file's rows the time of the first one that has one."""
+    return index.where(F.col("mtime").isNotNull() & (F.col("mtime") != "")).groupBy("file").agg(F.min_by("mtime", order).alias("mtime"))
+
+
+def with_index_flag(folders: DataFrame, indexed: DataFrame, active: str | None = None) -> DataFrame:
+    """name, ingested, active of folders (name) against the names that have an index."""
+    known = indexed.select("name").distinct().withColumn("__known", F.lit(True))
+    return folders.join(known, "name", "left").select("name", F.coalesce("__known", F.lit(False)).alias("ingested"), F.col("name").eqNullSafe(active).alias("active"))
+
+
+def counters(results: DataFrame) -> DataFrame:
+    """One row: considered, extracted, unchanged, failed of results (status)."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return results.agg(F.count("*").alias("considered"), count("extracted"), count("unchanged"), count("failed"))

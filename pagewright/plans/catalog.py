@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, judged, maintenance, retrieval  # noqa: F401  register their plans
+from . import corpus, extraction, judged, maintenance, retrieval  # noqa: F401  register their plans
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "hybrid_search"

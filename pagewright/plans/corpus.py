@@ -203,7 +203,9 @@ def long_run_collapse(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.long_runs(F.col("text")).alias("clean"))
 
 
-@query("select * from (values ('203-206,480-482', [203,204,205,206,480,481,482]::int[]), ('7', [7]::int[]), (' 3 , 1-2,2', [1,2,3]::int[]), ('10-10,9', [9,10]::int[])) t(spec, pages)")
+@query("""with s as (select unnest(['203-206,480-482', '7', ' 3 , 1-2,2', '10-10,9']) spec), p as (select spec, trim(unnest(string_split(spec, ','))) part from s),
+r as (select spec, unnest(range(split_part(part, '-', 1)::int, (string_split(part, '-'))[-1]::int + 1)) page from p where part <> '')
+select spec, list(distinct page::int order by page::int) pages from r group by spec""")
 def page_spec_expand(spark, sf_dir):
     rows = spark.createDataFrame([(s,) for s in PAGE_SPECS], "spec string")
     return rows.select("spec", T.page_numbers(F.col("spec")).alias("pages"))

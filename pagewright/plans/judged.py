@@ -31,7 +31,7 @@ hit as (select ex.item_id, min(case when contains(d.source, ex.source) then bm.r
 
 @query(f"with {_HITS} select item_id, hit_rank is not null hit, hit_rank from hit")
 def score_retrieval(spark, sf_dir):
-    return evaluation.retrieval_hits(_results(spark, sf_dir), _expected(spark, sf_dir)).withColumnRenamed("query_id", "item_id")
+    return evaluation.retrieval_hits(_results(spark, sf_dir), _expected(spark, sf_dir)).select(F.col("query_id").alias("item_id"), "hit", "hit_rank")
 
 
 @query(f"with {_HITS} select count(*)::bigint n, count_if(hit_rank is not null)::bigint hits, count_if(hit_rank <= 1)::bigint top1, count_if(hit_rank <= 3)::bigint top3, (100 * count_if(hit_rank is not null) // greatest(count(*), 1))::bigint percent from hit")
@@ -108,7 +108,10 @@ CITED_CASES = [
 ]
 
 
-@query("select * from (values (1, true), (2, false), (3, true), (4, true), (5, true), (6, false)) t(id, passed)")
+@query(f"""with c as (select * from (values (1, [{{'file': 'A.pdf', 'section': '8.2 Gates'}}], [{{'file': 'a', 'section': 'gates'}}], false, 'text'), (2, [{{'file': 'A.pdf', 'section': '8.2 Gates'}}], [{{'file': 'a', 'section': 'gates'}}, {{'file': 'b', 'section': ''}}], false, 'text'),
+(3, [], [], false, 'text'), (4, [{{'file': 'B.pdf', 'section': ''}}], [{{'file': '', 'section': ''}}], false, 'text'), (5, [], [], true, '{ABSTAIN.replace("'", "''")} Sorry.'), (6, [], [], true, 'It is so.')) t(id, cits, rules, must, answer))
+select id, case when must then starts_with(trim(answer), '{ABSTAIN.replace("'", "''")}')
+else len(list_filter(rules, lambda r: len(list_filter(cits, lambda c: contains(lower(c.file), lower(r.file)) and contains(lower(c.section), lower(r.section)))) = 0)) = 0 end passed from c""")
 def score_citations(spark, sf_dir):
     pair = "array<struct<file:string,section:string>>"
     rows = spark.createDataFrame([c[:5] for c in CITED_CASES], f"id int, citations {pair}, rules {pair}, must_abstain boolean, answer string")

@@ -122,7 +122,13 @@ PICTURES = [("d", 1, "p1", "S", 0.1, 0.1, 0.5, 0.4), ("d", 1, "p2", "S", 0.6, 0.
 TEXTS = [("d", 1, "t1", "Figure 1 left", 0.1, 0.45, 0.5, 0.5), ("d", 1, "t2", "Fig. 2 right", 0.55, 0.42, 0.9, 0.47), ("d", 1, "t3", "Figure 9 far", 0.1, 0.6, 0.5, 0.65), ("d", 2, "t4", "Table 3 below", 0.7, 0.55, 1.2, 0.6), ("d", 2, "t5", "no caption", 0.1, 0.51, 0.9, 0.53)]
 
 
-@query("select * from (values ('p1', 'Figure 1 left'), ('p2', 'Fig. 2 right'), ('p3', 'Table 3 below')) t(pic, caption)")
+def _values(rows):
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) for x in r) + ")" for r in rows)
+
+
+@query(f"""with p as (select * from (values {_values(PICTURES)}) t(doc, page, pic, section, x0, y0, x1, y1)), t as (select * from (values {_values(TEXTS)}) t(doc, page, id, text, x0, y0, x1, y1))
+select pic, t.text caption from p join t using (doc, page) where regexp_matches(t.text, '(?i)^(Figure|Fig\\.?|Table) \\d+') and t.y0 >= p.y1 and t.y0 - p.y1 <= 0.1::double and (least(p.x1, t.x1) - greatest(p.x0, t.x0)) / (t.x1 - t.x0) >= 0.3
+qualify row_number() over (partition by doc, page, pic order by t.y0, t.id) = 1""")
 def spatial_pairs(spark, sf_dir):
     p = spark.createDataFrame(PICTURES, "doc string, page int, id string, section string, x0 double, y0 double, x1 double, y1 double")
     t = spark.createDataFrame(TEXTS, "doc string, page int, id string, text string, x0 double, y0 double, x1 double, y1 double")
@@ -150,10 +156,18 @@ def caption_strip(spark, sf_dir):
     return cleaned_captions(rows).select("conv_id", "turn", "caption", "usable")
 
 
-@query("select count(*)::bigint n, count_if(length(trim(text)) >= 40)::bigint n_usable from conversations where role = 'assistant'")
+_FRAMED = "'<think>' || conv_id || '</think>' || chr(10) || 'Here is a summary:' || chr(10) || chr(10) || 'Node ' || turn || ' ' || left(regexp_replace(text, '[^a-z ]', '', 'g'), (turn % 5) * 10::int) || chr(10) || '---'"
+
+
+@query(f"""with r as (select conv_id, turn, {_FRAMED} framed from conversations where role = 'assistant'),
+c as (select conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(framed, '^<think>[0-9]*</think>\\s*', ''), '^Here is a summary:\\s*', ''), '\\s*---$', '')) caption from r)
+select conv_id, turn, caption, length(caption) >= 40 usable from c""")
 def caption_usable(spark, sf_dir):
-    rows = cleaned_captions(table(spark, sf_dir, "conversations").where("role = 'assistant'"))
-    return rows.agg(F.count("*").alias("n"), F.count_if("usable").alias("n_usable"))
+    """Turns, framed as models frame captions."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    said = F.substring(F.regexp_replace("text", "[^a-z ]", ""), F.lit(1), ((F.col("turn") % 5) * 10).cast("int"))
+    framed = F.concat(F.lit("<think>"), "conv_id", F.lit("</think>\nHere is a summary:\n\nNode "), "turn", F.lit(" "), said, F.lit("\n---"))
+    return cleaned_captions(rows.select("conv_id", "turn", framed.alias("text"))).select("conv_id", "turn", "caption", "usable")
 
 
 @query("""select conv_id, max(turn) turn, arg_max(text, turn) question from conversations where role = 'user' group by conv_id""")
@@ -170,8 +184,9 @@ def drop_system(spark, sf_dir):
 MODEL_FIELDS = ["specs", "specs!deep", " specs ! FAST ", "code!qwen3.6:27b", "a!b!c", ""]
 
 
-@query("""select * from (values ('specs', 'specs', 'chat-model', 12288, 8), ('specs!deep', 'specs', 'chat-model-deep', 16384, 15), (' specs ! FAST ', 'specs', 'chat-model', 12288, 8),
-('code!qwen3.6:27b', 'code', 'qwen3.6:27b', 24576, 8), ('a!b!c', 'a', 'b!c', 12288, 8), ('', '', 'chat-model', 12288, 8)) t(field, collection, model, context, top_k)""")
+@query(f"""with f as (select unnest({MODEL_FIELDS!r}) field), s as (select field, trim(split_part(field, '!', 1)) collection, lower(trim(case when contains(field, '!') then substring(field, instr(field, '!') + 1) else '' end)) profile from f)
+select field, collection, case when profile = 'deep' then 'chat-model-deep' when profile in ('', 'fast') then 'chat-model' else profile end model,
+case when starts_with(profile, 'qwen3.6:') then greatest(12288, 24576) when profile = 'deep' then 16384 else 12288 end::int context, case when profile = 'deep' then 15 else 8 end::int top_k from s""")
 def resolve_model(spark, sf_dir):
     return spark.createDataFrame([(f,) for f in MODEL_FIELDS], "field string").select("field", *chat.resolved_model(F.col("field")))
 
