@@ -259,19 +259,29 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.select("query_id", F.row_number().over(order).alias("rank"), "id", F.col("d").alias("score")).where(F.col("rank") <= k)
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, s: Settings = SETTINGS) -> DataFrame:
-    """query_id, rank, id, score of the k nearest rows (id, vec) found for each query (id, vec), its own id left out."""
+def for_each_length(rows: DataFrame, queries: DataFrame, k: int, search) -> DataFrame:
+    """search(rows, queries, k) of the vectors of each length that a query has."""
     lengths = [r["n"] for r in queries.select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]
     of = lambda df, n: df.where(F.size("vec") == n)
-    found = [found_for(of(rows, n), of(queries, n), k, s) for n in lengths]
+    found = [search(of(rows, n), of(queries, n), k) for n in lengths]
     return functools.reduce(DataFrame.unionByName, found) if found else ranked(rows.selectExpr("id as query_id", "id", "0D as d").limit(0), k)
 
 
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, s: Settings = SETTINGS) -> DataFrame:
+    """query_id, rank, id, score of the k nearest rows (id, vec) found for each query (id, vec), its own id left out."""
+    return for_each_length(rows, queries, k, lambda *x: found_for(*x, s))
+
+
 EXACT_ROWS = 50_000
 
 
 def exact(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """nearest_neighbours() by holding the stated queries against all rows, in blocks of both."""
+    return for_each_length(rows, queries, k, held_against_all)
+
+
+def held_against_all(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """exact() of vectors of one length."""
     parts = max(1, -(-rows.count() // EXACT_ROWS))
     dealt = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
     asked = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("asked"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
@@ -296,7 +306,7 @@ def exact(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
 
     found = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(meet, "query_id bigint, id bigint, d double")
-    near = ranked(found, k).select("query_id", "id")
+    near = ranked(found, k).select("query_id", "id").distinct()
     ends = near.join(rows.withColumnRenamed("vec", "there"), "id").join(queries.select(F.col("id").alias("query_id"), "vec").dropDuplicates(["query_id"]), "query_id")
     return ranked(ends.select("query_id", "id", distance("vec", "there").alias("d")), k)
 

@@ -474,6 +474,63 @@ def test_quality_on_held_out_rows(spark):
     assert (got == want).mean() > 0.95
 
 
+def test_training_matches_a_plain_loop():
+    """FTRL-proximal, one text after another, with a number for each coordinate."""
+    rng = np.random.default_rng(30)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 9))).encode() for _ in range(60)]
+    labels = [int(b"a" in t) for t in texts]
+    s = toxicity.Settings(bits=10, epochs=2, l1=0.3)
+    z, n, order = {}, {}, np.random.default_rng(7)
+
+    def weight(i):
+        rate = (s.beta + n.get(i, 0.0) ** 0.5) / s.alpha
+        if i == "bias":
+            return -z.get(i, 0.0) / rate
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= s.l1 else -(v - (s.l1 if v > 0 else -s.l1)) / (rate + s.l2)
+
+    rows = [[*set(toxicity.places([t], s.bits)[0].tolist()), "bias"] for t in texts]
+    for _ in range(s.epochs):
+        for i in order.permutation(len(rows)):
+            w = {k: weight(k) for k in rows[i]}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - labels[i]) * (s.positive if labels[i] else 1.0)
+            for k in rows[i]:
+                old = n.get(k, 0.0)
+                n[k] = old + g * g
+                z[k] = z.get(k, 0.0) + g - (n[k] ** 0.5 - old**0.5) / s.alpha * w[k]
+    scorer = toxicity.Scorer(toxicity.fit(texts, labels, s))
+    got = {k: float(v) for k, v in enumerate(scorer.weight) if v}
+    want = {k: weight(k) for k in z if k != "bias" and weight(k)}
+    assert got.keys() == want.keys() and 0 < len(got) and all(abs(got[k] - want[k]) < 1e-5 for k in want) and abs(scorer.bias - weight("bias")) < 1e-9
+    scores = [1 / (1 + np.exp(-(weight("bias") + sum(weight(k) for k in r if k != "bias")))) for r in rows]
+    assert np.allclose(scorer.score(texts), scores, atol=1e-5)
+
+
+def test_votes_match_a_plain_loop():
+    """With more equal labelled texts than neighbours, of which the first ones count."""
+    rng = np.random.default_rng(31)
+    known = [" ".join(rng.choice("red green blue one two three Four 5".split(), 6)).encode() for _ in range(40)] + [b"same words"] * 30
+    labels = [int(x) for x in rng.integers(0, 2, 70)]
+    voter = quality.Voter(quality.fit(known, labels, quality.Settings(rank=8, neighbours=5)))
+    asked = [b"red green", b"same words", b"", b"Four 5 Four 5", known[3]]
+    v = quality.unit(quality.weighted(quality.counts(asked), voter.idf).astype(float) @ voter.v)
+    want = []
+    for x in v:
+        near = sorted(range(70), key=lambda i: (-round(float(x @ voter.known[i]), 6), i))[:5]
+        weights = [max(round(float(x @ voter.known[i]), 6), 0) for i in near]
+        want.append(sum(w * labels[i] for w, i in zip(weights, near, strict=True)) / sum(weights) if sum(weights) else 0.0)
+    assert np.allclose(voter.score(asked), want) and [float(voter.score([a])[0]) for a in asked] == voter.score(asked).tolist()
+
+
+def test_giant_texts(spark):
+    giant = "word 12 " * 400_000
+    df = spark.createDataFrame([(1, giant), (2, "x" * 3_000_000), (3, None)], "doc_id long, text string")
+    known = ([b"word 12 word", b"other text here"] * 5, [1, 0] * 5)
+    assert {r.doc_id for r in toxicity.scores(df, toxicity.fit(*known)).collect()} == {r.doc_id for r in quality.scores(df, quality.fit(*known)).collect()} == {1, 2, 3}
+    got = {r.doc_id: (len(r.payload), hashlib.sha1(r.payload).digest()) for r in jpeg.decode_column(jpeg.encode_column(df), ["doc_id"]).select("doc_id", "payload").collect()}
+    assert got[1] == (len(giant), hashlib.sha1(giant.encode()).digest()) and got[2][0] == 3_000_000 and got[3][0] == 64
+
+
 def test_words_are_hashed_alike_wherever_they_stand():
     texts = [b"One two-THREE", b"", b"three \xc3\xa9 one", b"..."]
     words, owner = terms.hashed_words(texts)
@@ -506,6 +563,30 @@ def test_neighbours_recall_and_ties(spark):
     assert [got[230][r][0] for r in range(1, 11)] == list(range(200, 210))
 
 
+def test_neighbours_of_odd_tables(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(5)] + [(3, [3.5, 1.0]), (7, [1.0]), (8, [2.0]), (None, [1.0, 1.0]), (9, []), (10, [float("inf"), 0.0])]
+    df = neighbours.usable(spark.createDataFrame(rows, "id long, vec array<double>"), "id", "vec")
+    for search in (neighbours.nearest_neighbours, neighbours.exact):
+        got = {}
+        for r in search(df, df.where("id in (0, 7)"), 3).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.id, r.score)
+        assert {q: [x[k] for k in sorted(x)] for q, x in got.items()} == {0: [(1, 1.0), (2, 2.0), (3, 3.0)], 7: [(8, 1.0)]}
+        assert search(df.limit(0), df.limit(0), 3).count() == 0
+    precise = neighbours.usable(spark.createDataFrame([(i, [1.0 + i * 1e-12, 1.0]) for i in range(4)], "id long, vec array<double>"), "id", "vec")
+    assert [r.id for r in neighbours.nearest_neighbours(precise, precise.where("id = 0"), 3).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_recall_with_a_very_common_vector(spark):
+    rng = np.random.default_rng(40)
+    x = rng.standard_normal((20_000, 24)).astype(np.float32)
+    x[5000:11_000] = x[5000]
+    df = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>"), "id", "vec")
+    df = common.stored(df, "vectors")
+    asked = df.where("id % 400 = 0")
+    near, exact = ({(r.query_id, r.id) for r in f(df, asked).collect()} for f in (neighbours.nearest_neighbours, neighbours.exact))
+    assert len(exact) == 500 and len(near & exact) >= 0.9 * len(exact)
+
+
 def test_all_reverse_neighbours_meet(spark, monkeypatch):
     x = np.random.default_rng(14).standard_normal((61, 8)).astype(np.float32)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vec array<float>")
@@ -562,6 +643,16 @@ def test_pieces_cover_every_id_once(spark, documents):
     assert sum(r.length for r in got) / (1024 * len(by_sequence)) > 0.9
 
 
+def test_packing_of_odd_rows(spark):
+    rows = [(None, "a b"), (1, "a b"), (1, "a b"), (2, "long text " * 3000), (3, None)]
+    got = packing.pack(packing.token_pieces(spark.createDataFrame(rows, "doc_id long, text string"), added=True)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.start) for r in got if r.doc_id != 2) == [(False, 1, 0), (False, 1, 0), (False, 3, 0), (True, 0, 0)]
+    long = sorted((r.start, r.length) for r in got if r.doc_id == 2)
+    assert [a for a, _ in long] == [sum(n for _, n in long[:i]) for i in range(len(long))] and sum(n for _, n in long) == next(r.doc_tokens for r in got if r.doc_id == 2)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:], strict=False))
+
+
 def test_literals_of_added_tokens_become_those_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -613,3 +704,40 @@ def test_trigram_queries():
 def test_masking(spark):
     df = spark.createDataFrame([(1, "a token=abcdefghijklmnopqrst b"), (2, None)], "doc_id int, text string")
     assert sorted(tuple(r) for r in secrets.mask_secrets(df).collect()) == [(1, "a [secret] b", 1), (2, "", 0)]
+
+
+# Base columns, as DuckDB's SQL has them
+
+
+def test_base_columns_match_sql(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select doc_id, coalesce(text, '') as text from '{data}/documents.parquet'")
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    at = lambda p: f"list_transform(list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()!r}), lambda i: i - 1)"
+    places = {label: at(p) for p, label in licenses.BASE_PHRASES.items()}
+    every = "list_concat(" + ", ".join(["[]::bigint[]", *places.values()][:2]) + ")"
+    for p in list(places.values())[1:]:
+        every = f"list_concat({every}, {p})"
+    labels = "array_to_string(list_sort(list_filter([" + ", ".join(f"case when len({p}) > 0 then '{label}' end" for label, p in places.items()) + "], lambda x: x is not null)), ',')"
+    want = con.sql(rf"""with d as (select doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents)
+      select doc_id, len(w), len({every}), list_min({every}), list_max({every}), {labels} from d""").fetchall()
+    got = licenses.op2_license_scan(spark, data).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(r[2] for r in want)
+    want = con.sql(r"""select doc_id, len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)),
+      len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)), len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 16)) from documents""").fetchall()
+    got = secrets.op10_secret_scan(spark, data).select("doc_id", "n_assign", "n_access", "n_hex").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(sum(r[1:]) for r in want)
+
+
+def test_archives_match_sql(spark, data):
+    import duckdb
+
+    from pagewright.llm.catalog import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.sql(f"create view pages as from '{data}/pages.parquet'")
+    found = warc.op4_warc(spark, data)
+    rows = con.sql(ORACLE_SQL["op4_warc"])
+    assert found.columns == rows.columns and sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, rows.fetchall()))
