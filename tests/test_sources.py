@@ -125,3 +125,31 @@ def test_engine(spark, tmp_path):
     assert engine.models().count() == 4 and engine.health()["ok"]
     with pytest.raises(UnknownCollection):
         engine.ingest("none")
+
+
+def test_pdf_readers_and_blocks(spark):
+    from pagewright.sources import pdf
+
+    assert pdf.pick_backend(lambda n: n != "docling") == "pymupdf4llm"
+    with pytest.raises(RuntimeError):
+        pdf.pick_backend(lambda n: False)
+
+    def reader(content):
+        if content == b"bad":
+            raise OSError("broken")
+        for n, text in enumerate(content.decode().split("\f"), 1):
+            yield n, text
+
+    files_ = spark.createDataFrame([("a", bytearray("# One\nx\f\ny\n\n# Two\f ".encode())), ("b", bytearray(b"bad"))], "file string, content binary")
+    pages = pdf.rows_of(files_, reader, "page int, text string")
+    assert {(r.file, r.page, r.error) for r in pages.collect()} == {("a", 1, None), ("a", 2, None), ("a", 3, None), ("b", None, "OSError: broken")}
+    good = pages.where("error is null")
+    assert [(r.page, r.block, r.type, r.section, r.text) for r in pdf.markdown_page_blocks(good).orderBy("page", "block").collect()] == [(1, 0, "heading", "One", "One"), (1, 1, "text", "One", "x"), (2, 0, "text", "One", "y"), (2, 1, "heading", "Two", "Two")]
+    assert [r.page for r in pdf.page_blocks(good).orderBy("page").collect()] == [1, 2] and pdf.flat_text(good).collect()[0].text.startswith("# One")
+    items = spark.createDataFrame([("a", 0, 1, "section_header", "H"), ("a", 1, 1, "text", " "), ("a", 2, 1, "table", "| t |"), ("a", 3, 2, "text", "p")], "file string, pos int, page int, label string, text string")
+    assert [(r.page, r.block, r.type, r.section) for r in pdf.item_blocks(items).orderBy("page", "block").collect()] == [(1, 0, "heading", "H"), (1, 2, "table", "H"), (2, 0, "text", "H")]
+    boxes = spark.createDataFrame([("a", 0, 1, 600.0, 800.0, 50.0, 10.0, 90.0, 20.0, "RFC head"), ("a", 1, 1, 600.0, 800.0, 50.0, 100.0, 300.0, 150.0, "some\n  prose \n"), ("a", 2, 1, 600.0, 800.0, 50.0, 200.0, 300.0, 250.0, "+--+\n|a |"), ("a", 3, 1, 600.0, 800.0, 110.0, 420.0, 280.0, 440.0, "Figure 3 Gates")], "file string, pos int, page int, width double, height double, x0 double, y0 double, x1 double, y1 double, text string")
+    assert [(r.block, r.type, r.text) for r in pdf.plain_text_blocks(boxes).orderBy("block").collect()] == [(0, "text", "some prose"), (1, "code", "+--+\n|a |"), (2, "text", "Figure 3 Gates")]
+    images = spark.createDataFrame([("a", 1, 7, 600.0, 800.0, 100.0, 250.0, 300.0, 400.0, bytearray(5000)), ("a", 2, 7, 600.0, 800.0, 0.0, 0.0, 300.0, 400.0, bytearray(5000)), ("a", 1, 8, 600.0, 800.0, 0.0, 0.0, 50.0, 400.0, bytearray(5000)), ("a", 1, 9, 600.0, 800.0, 0.0, 0.0, 500.0, 400.0, bytearray(50))], "file string, page int, xref int, width double, height double, x0 double, y0 double, x1 double, y1 double, png binary")
+    found = pdf.picture_blocks(images, boxes).collect()
+    assert [(r.id, r.caption, [round(x, 3) for x in r.bbox]) for r in found] == [("p1-pic1", "Figure 3 Gates", [0.167, 0.312, 0.5, 0.5])]
