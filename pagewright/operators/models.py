@@ -81,3 +81,18 @@ def expanded(questions: DataFrame, reply: Column | None = None, most: int = 5) -
     some = F.slice(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""), 1, most)
     queries = F.concat(F.array(F.col("text")), F.filter(some, lambda x: F.lower(x) != F.lower(F.col("text"))))
     return questions.select("question_id", F.posexplode(queries).alias("query_id", "text"))
+
+
+def described(content: Column, prompt: Column, describe: Callable[[bytes, str], str | None]) -> Column:
+    """What a model says of a picture, or makes of a page (bytes and prompt); null for null content and wherever the model fails."""
+
+    def run(contents: pa.Array, prompts: pa.Array) -> pa.Array:
+        out: list[str | None] = []
+        for data, asked in zip(contents, prompts.to_pylist(), strict=True):
+            try:
+                out.append(describe(data.as_py(), asked or "") if data.is_valid else None)
+            except Exception:  # noqa: BLE001  a model may fail in any way; other rows go on
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string").asNondeterministic()(content, prompt)

@@ -153,3 +153,41 @@ def test_pdf_readers_and_blocks(spark):
     images = spark.createDataFrame([("a", 1, 7, 600.0, 800.0, 100.0, 250.0, 300.0, 400.0, bytearray(5000)), ("a", 2, 7, 600.0, 800.0, 0.0, 0.0, 300.0, 400.0, bytearray(5000)), ("a", 1, 8, 600.0, 800.0, 0.0, 0.0, 50.0, 400.0, bytearray(5000)), ("a", 1, 9, 600.0, 800.0, 0.0, 0.0, 500.0, 400.0, bytearray(50))], "file string, page int, xref int, width double, height double, x0 double, y0 double, x1 double, y1 double, png binary")
     found = pdf.picture_blocks(images, boxes).collect()
     assert [(r.id, r.caption, [round(x, 3) for x in r.bbox]) for r in found] == [("p1-pic1", "Figure 3 Gates", [0.167, 0.312, 0.5, 0.5])]
+
+
+def test_described_pictures(spark):
+    rows = spark.createDataFrame([(bytearray(b"ab"), "p"), (None, "p"), (bytearray(b""), None)], "png binary, prompt string")
+
+    def describe(data, prompt):
+        return f"{len(data)}{prompt}" if data else 1 / 0
+
+    assert [r[0] for r in rows.select(models.described(F.col("png"), F.col("prompt"), describe)).collect()] == ["2p", None, None]
+
+
+def test_progress_of_streams(spark, tmp_path):
+    import time
+
+    from pagewright.streaming import progress
+
+    fanout, seen, done = progress.Fanout(), [], []
+    remove = fanout.add(lambda event, payload: seen.append(payload["state"]))
+    fanout.add(lambda event, payload: 1 / 0)
+    fanout.send("ingest.progress", {"state": "skipped"})
+    assert seen == ["skipped"] and len(fanout._listeners) == 1 and progress.line("e", {"a": "é"}) == 'event: e\ndata: {"a": "é"}\n\n'
+    listener = progress.QueryProgress(fanout)
+    spark.streams.addListener(listener)
+    try:
+        for n in range(2):
+            spark.createDataFrame([(f"f{n}", "1")], "file string, mtime string").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+            stream = spark.readStream.schema("file string, mtime string").json(f"{tmp_path}/in")
+            progress.ingest_stream(stream, lambda batch, number: done.extend(r.file for r in batch.collect()), f"{tmp_path}/state")
+        assert done == ["f0", "f1"]
+        for _ in range(50):
+            if seen.count("completed") == 2:
+                break
+            time.sleep(0.2)
+        assert seen.count("started") == seen.count("completed") == 2 and "batch-flushed" in seen
+    finally:
+        spark.streams.removeListener(listener)
+    remove()
+    assert not fanout._listeners
