@@ -436,7 +436,7 @@ def _text_of(model: str):
         p = pieces(model)
         return pa.array([p.decode(x.values.to_numpy(zero_copy_only=False), not k) if x.is_valid else "" for x, k in zip(ids, chunk.to_pylist(), strict=True)], pa.string())
 
-    return F.arrow_udf(run, "string").asNondeterministic()
+    return F.arrow_udf(run, "string")
 
 
 def decode_chunks(encoded: DataFrame, model: str | None = None) -> DataFrame:
