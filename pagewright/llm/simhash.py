@@ -9,7 +9,7 @@ its smallest one; links are deduplicated and verified, and components follow.
 
 A similarity as low as 0.8 (similar_groups) is beyond any ball: 64 bits differ
 in about ten places. There, bands of least hashes of the shingles (MinHash)
-find the candidates, and their sets of shingles are compared exactly. Each
+find the candidates, and their sets of shingles (as 64-bit hashes) are compared. Each
 bucket's members are first held against its hub, the member that meets most
 others; those that then still belong to different components are held against
 each other, in blocks of bounded size.
@@ -152,23 +152,17 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return met >= similarity * (len(a) + len(b) - met)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are similar enough; texts: kind, text. Best with few different a."""
-    ends = lambda x: texts.select(F.col("kind").alias(x), F.col("text").cast("binary").alias(f"text_{x}"))
+def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are similar enough; held: kind, shingle_set."""
+    ends = lambda x: held.select(F.col("kind").alias(x), F.col("shingle_set").alias(f"set_{x}"))
 
     def run(batches):
-        held, first = None, None
         for batch in batches:
-            a, text_a, text_b = (batch.column(c) for c in ("a", "text_a", "text_b"))
-            kept = []
-            for i in range(len(batch)):
-                if a[i].as_py() != held:
-                    held, first = a[i].as_py(), shingle_set(text_a[i].as_py(), words)
-                if similar(first, shingle_set(text_b[i].as_py(), words), similarity):
-                    kept.append(i)
+            a, b = batch.column("set_a"), batch.column("set_b")
+            kept = [i for i in range(len(batch)) if similar(*(np.frombuffer(x[i].as_py(), np.uint64) for x in (a, b)), similarity)]
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
-    both = common.small_batches(pairs).join(ends("b"), "b").join(ends("a"), "a").select("a", "b", "text_a", "text_b")
+    both = common.small_batches(pairs).join(ends("b"), "b").join(ends("a"), "a").select("a", "b", "set_a", "set_b")
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -192,23 +186,27 @@ def buckets(kinds: DataFrame) -> DataFrame:
 def links_of(kinds: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): verified links that keep every component of the pairs which share a band. kinds: kind, shingles, bands, sketch; texts: kind, text."""
     members = buckets(kinds)
+    needed = common.stored(members.select("kind").distinct(), "needed")  # of known size, so that other texts needn't move to leave
+    held = kinds.join(needed, "kind", "left_semi").select("kind", "sketch").join(texts.join(needed, "kind", "left_semi"), "kind")
+    held = common.stored(common.map_texts(held, ["kind", "sketch"], "text", "shingle_set binary", lambda t: [[shingle_set(x, words).tobytes() for x in t]]), "held")
     stars = members.where("kind <> hub").select(F.col("hub").alias("a"), F.col("kind").alias("b")).distinct()
-    links = common.stored(verified(stars, texts, words, similarity), "stars")
+    links = common.stored(verified(stars, held, similarity), "stars")
     placed = members.join(components(links).withColumnRenamed("node", "kind"), "kind", "left").withColumn("component", F.coalesce("component", "kind"))
     placed = common.stored(placed.select("band", "bucket", "kind", "component", "parts"), "placed")
     common.dropped(members)
     several = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "bucket")
     apart = common.stored(placed.join(several, ["band", "bucket"]), "apart")
     common.dropped(placed)
-    held = kinds.join(apart.select("kind").distinct(), "kind", "left_semi").select("kind", "sketch").join(texts.select("kind", "text"), "kind")
-    held = common.stored(common.map_texts(held, ["kind", "sketch"], "text", "shingle_set binary", lambda t: [[shingle_set(x, words).tobytes() for x in t]]), "held")
     # Each member goes to the tasks of its own block with every other block of its bucket.
     own = F.pmod(F.xxhash64("kind"), F.col("parts"))
     dealt = apart.select("band", "bucket", "kind", "component", own.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("band", "bucket", "kind", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     rows = dealt.join(held, "kind").select("band", "bucket", "i", "j", "kind", "component", "part", "sketch", "shingle_set")
     found = rows.groupBy("band", "bucket", "i", "j").applyInArrow(lambda t: met_in_block(t, similarity), "a bigint, b bigint")
-    return links.unionByName(common.stored(found.distinct(), "others"))
+    others = common.stored(found.distinct(), "others")
+    for x in (apart, held, needed):
+        common.dropped(x)
+    return links.unionByName(others)
 
 
 def met_in_block(table: pa.Table, similarity: float) -> pa.Table:
