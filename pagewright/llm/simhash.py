@@ -112,14 +112,20 @@ def similar_links(fps: DataFrame, fp_col: str = "fp", radius: int = 2) -> DataFr
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """id, fp, component_id: the smallest id reachable through links, per input row."""
+    """id, fp, component_id: the smallest id reachable through links, per input row.
+
+    Rows only look up fingerprints that repeat or are linked; any other row is
+    its own component.
+    """
     docs = common.stored(fingerprints(df, id_col, text_col, words), "fingerprints")
-    smallest = docs.groupBy("fp").agg(F.min(id_col).alias("least_id"))
-    linked = components(similar_links(docs, "fp", radius))
-    grouped = smallest.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    kinds = common.stored(docs.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), "kinds")
+    linked = common.stored(components(similar_links(kinds, "fp", radius)).withColumnRenamed("node", "fp"), "linked")
+    grouped = kinds.join(linked, "fp").select("fp", "least_id", "component")
     least = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labels = common.stored(grouped.join(least, "component").select("fp", "component_id"), "labels")
-    return docs.join(labels, "fp").select(id_col, "fp", "component_id")
+    several = kinds.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("least_id").alias("component_id"))
+    labels = common.stored(grouped.join(least, "component").select("fp", "component_id").unionByName(several), "labels")
+    known = F.when(F.col("known"), F.col("component_id")).otherwise(F.col(id_col))
+    return docs.join(labels.withColumn("known", F.lit(True)), "fp", "left").select(id_col, "fp", known.alias("component_id"))
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
