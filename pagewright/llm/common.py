@@ -12,7 +12,9 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -125,13 +127,61 @@ def fold(folds: int, id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+class SpilledTexts(Sequence):
+    """Texts in a temporary file of this worker, in the order of their ids; only places and lengths are in memory."""
+
+    def __init__(self, rows: Iterator[tuple[object, bytes]]):
+        """rows: (id, text), in any order; ids differ."""
+        self.file, ids, sizes = tempfile.TemporaryFile(), [], []
+        for key, text in rows:
+            self.file.write(text)
+            ids.append(key)
+            sizes.append(len(text))
+        self.order = sorted(range(len(ids)), key=ids.__getitem__)
+        self.starts = list(accumulate(sizes, initial=0))
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return [self[k] for k in range(*i.indices(len(self)))]
+        k = self.order[i]
+        self.file.seek(self.starts[k])
+        return self.file.read(self.starts[k + 1] - self.starts[k])
+
+
+def pieces(texts: Sequence[bytes], max_bytes: int, max_rows: int) -> Iterator[list[bytes]]:
+    """Lists of neighbouring texts with about max_bytes; a longer text comes alone."""
+    held, size = [], 0
+    for t in texts:
+        if held and (size + len(t) > max_bytes or len(held) >= max_rows):
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def fitted(sample: DataFrame, fit) -> bytes:
-    """fit(texts, labels) -> bytes, run by one task over a bounded sample in the order of its ids."""
+    """fit(texts, labels) -> bytes, run by one task over a bounded sample in the order of its ids.
+
+    The texts come in small batches and wait in a file, so that memory doesn't
+    grow with their length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = {}
+
+        def rows():
+            for batch in batches:
+                keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())
+                labels.update(zip(keys, batch.column("y").to_pylist(), strict=True))
+                yield from ((k, texts[i].as_py()) for i, k in enumerate(keys))
 
-    def run(table):
-        table = table.sort_by("doc_id")
-        model = fit(table.column("text").cast(pa.binary()).to_pylist(), table.column("y").to_pylist())
-        return pa.table({"model": pa.array([model], pa.binary())})
+        texts = SpilledTexts(rows())
+        yield pa.RecordBatch.from_arrays([pa.array([fit(texts, [labels[k] for k in sorted(labels)])], pa.binary())], names=["model"])
 
-    found = sample.withColumn("__all", F.lit(0)).groupBy("__all").applyInArrow(run, "model binary").collect()
+    found = small_batches(sample).withColumn("__all", F.lit(0)).groupBy("__all").applyInArrow(run, "model binary").collect()
     return bytes(found[0][0]) if found else fit([], [])

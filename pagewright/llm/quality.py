@@ -18,6 +18,7 @@ is similar to them and they get the score 0; without labels all scores are
 from __future__ import annotations
 
 import io
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common, terms
 
 SHAPES, REPEATS, PLACES = 1024, 32, 4096
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -86,8 +87,8 @@ def leading(a: np.ndarray, rank: int) -> np.ndarray:
     return (q @ v.T)[:, :rank]
 
 
-def fit(texts: list[bytes], labels: list[int], s: Settings = SETTINGS) -> bytes:
-    blocks = [counts(texts[i : i + ROWS_AT_ONCE]) for i in range(0, len(texts), ROWS_AT_ONCE)]
+def fit(texts: Sequence[bytes], labels: list[int], s: Settings = SETTINGS) -> bytes:
+    blocks = [counts(x) for x in common.pieces(texts, BYTES_AT_ONCE, ROWS_AT_ONCE)]
     c = np.concatenate(blocks) if blocks else np.zeros((0, PLACES), np.float32)
     idf = np.log((1 + len(c)) / (1 + (c > 0).sum(axis=0))).astype(np.float32) + 1
     a = weighted(c, idf)
@@ -125,7 +126,7 @@ def scores(df: DataFrame, model: bytes, keep: str | list[str] = "doc_id", text_c
             held.append(Voter(sent.value))
         return [held[0].score(texts)]
 
-    return common.map_texts(df, keep, text_col, f"`{name}` double", work, 1 << 20, ROWS_AT_ONCE)
+    return common.map_texts(df, keep, text_col, f"`{name}` double", work, BYTES_AT_ONCE, ROWS_AT_ONCE)
 
 
 def fit_on(spark: SparkSession, sf_dir: str, s: Settings = SETTINGS) -> bytes:

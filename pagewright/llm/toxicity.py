@@ -13,6 +13,8 @@ scores are 0.5; repeated rows and null ids give a row each.
 from __future__ import annotations
 
 import io
+import tempfile
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,11 +55,21 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(texts: list[bytes], labels: list[int], s: Settings = SETTINGS) -> bytes:
-    """Train, one text after another in a fixed random order; returns the bias and the non-zero weights."""
+def fit(texts: Sequence[bytes], labels: list[int], s: Settings = SETTINGS) -> bytes:
+    """Train, one text after another in a fixed random order; returns the bias and the non-zero weights.
+
+    The texts' places wait in a temporary file: memory doesn't grow with the length of the texts.
+    """
     size = 1 << s.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    rows = [np.append(np.unique(places([t], s.bits)[0]), size) for t in texts]  # the last place is the bias
+    held, ends = tempfile.TemporaryFile(), [0]
+    for t in texts:
+        held.write(np.append(np.unique(places([t], s.bits)[0]), size).astype(np.int32).tobytes())  # the last place is the bias
+        ends.append(held.tell())
+
+    def row(i):
+        held.seek(ends[i])
+        return np.frombuffer(held.read(ends[i + 1] - ends[i]), np.int32)
 
     def weights(z, n):
         w = -(z - np.sign(z) * s.l1) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2)
@@ -65,8 +77,8 @@ def fit(texts: list[bytes], labels: list[int], s: Settings = SETTINGS) -> bytes:
 
     order = np.random.default_rng(7)
     for _ in range(s.epochs):
-        for i in order.permutation(len(rows)):
-            at = rows[i]
+        for i in order.permutation(len(ends) - 1):
+            at = row(i)
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             w[-1] = -zi[-1] / ((s.beta + np.sqrt(ni[-1])) / s.alpha)  # no penalty on the bias

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -522,6 +523,46 @@ def test_votes_match_a_plain_loop():
     assert np.allclose(voter.score(asked), want) and [float(voter.score([a])[0]) for a in asked] == voter.score(asked).tolist()
 
 
+class Made:
+    """Texts that are made when asked for."""
+
+    def __init__(self, n, words):
+        self.n, self.words = n, words
+
+    def __len__(self):
+        return self.n
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return [self[k] for k in range(*i.indices(self.n))]
+        if i >= self.n:
+            raise IndexError(i)
+        return b" ".join(b"w%d" % x for x in np.random.default_rng(i).integers(0, 1 << 20, self.words).tolist())
+
+
+@pytest.mark.parametrize("fit", [toxicity.fit, quality.fit])
+def test_memory_of_fits_does_not_grow_with_the_texts(fit):
+    peaks = []
+    for n in (20, 120):
+        tracemalloc.start()
+        fit(Made(n, 8_000), [i % 2 for i in range(n)])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] - peaks[0] < 8 << 20  # 6 MB of text more
+
+
+def test_fitted_texts_wait_in_a_file_in_the_order_of_their_ids(spark):
+    rows = [(i, f"text {i} " * (i % 7), i % 2) for i in np.random.default_rng(2).permutation(500).tolist()]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(3)
+
+    def seen(texts, y):
+        kind = type(texts).__name__
+        return repr((kind, list(texts) == texts[:], [(t.decode(), v) for t, v in zip(texts, y, strict=True)])).encode()
+
+    assert common.fitted(sample, seen) == repr(("SpilledTexts", True, [r[1:] for r in sorted(rows)])).encode()
+    assert common.fitted(sample.where("false"), lambda texts, y: repr((texts, y)).encode()) == b"([], [])"
+
+
 def test_giant_texts(spark):
     giant = "word 12 " * 400_000
     df = spark.createDataFrame([(1, giant), (2, "x" * 3_000_000), (3, None)], "doc_id long, text string")
