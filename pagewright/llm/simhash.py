@@ -7,10 +7,11 @@ at most 65 of 64 bits (half radius 1), however many documents there are, and
 copies never meet: they have one fingerprint. Each bucket links its members to
 its smallest one; links are deduplicated and verified, and components follow.
 
-A similarity as low as 0.8 (similar_groups) is beyond any ball: 64 bits differ
-in about ten places. There, bands of least hashes of the shingles (MinHash)
-find the candidates, and their sets of shingles (as 64-bit hashes) are compared. Each
-bucket's members are first held against its hub, the member that meets most
+Near-duplicates (similar_groups) are the texts whose sets of shingles (as 64-bit
+hashes) have a similarity of 0.8. Candidates are the texts whose fingerprints
+ball hashing connects. At 0.8 most pairs are beyond any ball, as 64 bits differ
+in about ten places: bands of least hashes of the shingles (MinHash) add these.
+All candidates' sets are compared. Each bucket's members are first held against its hub, the member that meets most
 others; those that then still belong to different components are held against
 each other, in blocks of bounded size.
 
@@ -39,6 +40,8 @@ from .terms import mix
 SHINGLES_AT_ONCE = 1 << 17
 #: A pair of similarity 0.8 shares none of 24 bands of 6 least hashes with probability 7e-4, and one of 0.5 shares one with probability 0.3.
 BANDS, ROWS = 24, 6
+#: Stands for a band where ball hashing made the bucket.
+BALLS = -1
 FACTORS = np.random.default_rng(80).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text sketched at once, so that the hashes stay in the processor's cache.
 SKETCHED_BYTES = 1 << 19
@@ -80,9 +83,14 @@ def majority(h: np.ndarray) -> np.ndarray:
     return 2 * counts > len(h)
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of a text with these hashes."""
+    return int(np.packbits(majority(h)).view(">i8")[0])
+
+
 def simhash(text: bytes, words: int = 3) -> int:
     """The signed 64-bit fingerprint of a text."""
-    return int(np.packbits(majority(hashes(text, words))).view(">i8")[0])
+    return fingerprint(hashes(text, words))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -130,16 +138,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct hashes; of a text without a word the one hash 0."""
-    found = hashes(text, words).astype(np.uint64)
-    return np.unique(found) if len(found) else np.zeros(1, np.uint64)
+    return distinct_hashes(hashes(text, words))
+
+
+def distinct_hashes(h: np.ndarray) -> np.ndarray:
+    return np.unique(h.astype(np.uint64)) if len(h) else np.zeros(1, np.uint64)
 
 
 def sketches(texts: list[bytes], words: int) -> list[list]:
     """Columns key (a digest of the set of shingles), shingles (their number), bands and sketch (least hashes) of each text."""
-    sets = [shingle_set(t, words) for t in texts]
+    return sketches_of([shingle_set(t, words) for t in texts])
+
+
+def fingerprints_and_sketches(texts: list[bytes], words: int) -> list[list]:
+    """Columns fp, then those of sketches(), from one pass over the texts."""
+    found = [hashes(t, words) for t in texts]
+    return [[fingerprint(h) for h in found], *sketches_of([distinct_hashes(h) for h in found])]
+
+
+def sketches_of(sets: list[np.ndarray]) -> list[list]:
     starts = np.cumsum([0, *map(len, sets[:-1])])
     h = mix(np.concatenate(sets))
-    least = np.empty((len(texts), len(FACTORS)), np.uint32)
+    least = np.empty((len(sets), len(FACTORS)), np.uint32)
     for j, factor in enumerate(FACTORS):
         least[:, j] = np.minimum.reduceat(h * factor, starts) >> np.uint64(32)
     digest = xxhash.xxh64_intdigest
@@ -172,13 +192,23 @@ def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def buckets(kinds: DataFrame) -> DataFrame:
-    """band, bucket, kind, hub, parts of the members of buckets with several; kinds: kind, shingles, bands.
+def balls(kinds: DataFrame) -> DataFrame:
+    """band (BALLS), bucket, kind, shingles: one bucket for the kinds (kind, fp, shingles) whose fingerprints ball hashing connects."""
+    linked = common.stored(components(similar_links(kinds)).withColumnRenamed("node", "fp"), "linked")
+    found = kinds.join(linked, "fp", "left").select(F.lit(BALLS).alias("band"), F.coalesce("component", "fp").alias("bucket"), "kind", "shingles")
+    found = common.stored(found, "balls")
+    common.dropped(linked)
+    return found
+
+
+def buckets(kinds: DataFrame, connected: DataFrame | None = None) -> DataFrame:
+    """band, bucket, kind, hub, parts of the members of buckets with several; kinds: kind, shingles, bands; connected: buckets of balls().
 
     hub: the member that meets most others, over all bands (of equal ones the
     smallest); parts: into how many blocks the bucket is to be cut.
     """
     each = kinds.select("kind", "shingles", F.posexplode("bands").alias("band", "bucket"))
+    each = each if connected is None else connected.unionByName(each)
     sizes = each.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("shingles").alias("bytes")).where("n > 1")
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(8 * F.col("bytes") / BLOCK_BYTES))
     shared = common.stored(each.join(sizes, ["band", "bucket"]).select("band", "bucket", "kind", "n", parts.alias("parts")), "shared")
@@ -189,9 +219,9 @@ def buckets(kinds: DataFrame) -> DataFrame:
     return members
 
 
-def links_of(kinds: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): verified links that keep every component of the pairs which share a band. kinds: kind, shingles, bands, sketch; texts: kind, text."""
-    members = buckets(kinds)
+def links_of(kinds: DataFrame, texts: DataFrame, words: int, similarity: float, connected: DataFrame | None = None) -> DataFrame:
+    """(a, b): verified links that keep every component of the pairs which share a bucket of balls() or a band. kinds: kind, shingles, bands, sketch; texts: kind, text."""
+    members = buckets(kinds, connected)
     needed = common.stored(members.select("kind").distinct(), "needed")  # of known size, so that other texts needn't move to leave
     held = kinds.join(needed, "kind", "left_semi").select("kind", "sketch").join(texts.join(needed, "kind", "left_semi"), "kind")
     held = common.stored(common.map_texts(held, ["kind", "sketch"], "text", "shingle_set binary", lambda t: [[shingle_set(x, words).tobytes() for x in t]]), "held")
@@ -220,7 +250,8 @@ def met_in_block(table: pa.Table, similarity: float) -> pa.Table:
 
     Pairs are skipped that are already connected, belong to another task (both
     in one of two blocks), meet in an earlier band, or whose sketches have too
-    few equal hashes (four standard deviations below the mean).
+    few equal hashes (four standard deviations below the mean). The last two
+    don't hold for pairs that ball hashing brought together.
     """
     band, two = table.column("band")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
     kind, part, label = (table.column(c).to_numpy() for c in ("kind", "part", "component"))
@@ -232,9 +263,11 @@ def met_in_block(table: pa.Table, similarity: float) -> pa.Table:
     for i in range(len(kind) - 1):
         later = np.arange(i + 1, len(kind))
         later = later[(label[later] != label[i]) & ((part[later] != part[i]) if two else True) & (np.minimum(size[later], size[i]) >= similarity * np.maximum(size[later], size[i]))]
-        equal = sketch[later] == sketch[i]
-        bands = equal.reshape(len(later), BANDS, ROWS).all(axis=2)
-        for k in later[(equal.sum(axis=1) >= least) & bands[:, band] & ~bands[:, :band].any(axis=1)].tolist():
+        if band != BALLS:
+            equal = sketch[later] == sketch[i]
+            bands = equal.reshape(len(later), BANDS, ROWS).all(axis=2)
+            later = later[(equal.sum(axis=1) >= least) & bands[:, band] & ~bands[:, :band].any(axis=1)]
+        for k in later.tolist():
             if label[k] != label[i] and similar(sets[i], sets[k], similarity):
                 label[label == label[k]] = label[i]
                 a.append(min(kind[i], kind[k]))
@@ -257,15 +290,16 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
 def groups_of(rows: DataFrame, number: str, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """similar_groups() of rows that numbered() wrote."""
     source = rows.select(F.col(number).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    work = lambda texts: sketches(texts, words)
-    docs = common.stored(common.map_texts(source, ["row", "id"], "text", "key binary, shingles bigint, bands array<bigint>, sketch binary", work, SKETCHED_BYTES), "sketches")
+    work = lambda texts: fingerprints_and_sketches(texts, words)
+    docs = common.stored(common.map_texts(source, ["row", "id"], "text", "fp bigint, key binary, shingles bigint, bands array<bigint>, sketch binary", work, SKETCHED_BYTES), "sketches")
     least = common.stored(docs.groupBy("key").agg(F.min("row").alias("kind")), "least")
-    kinds = common.stored(docs.join(least.select("kind"), F.col("row") == F.col("kind")).select("kind", "shingles", "bands", "sketch"), "kinds")
+    kinds = common.stored(docs.join(least.select("kind"), F.col("row") == F.col("kind")).select("kind", "fp", "shingles", "bands", "sketch"), "kinds")
+    connected = balls(kinds)
     texts = source.select(F.col("row").alias("kind"), "text")
-    linked = components(links_of(kinds, texts, words, similarity)).withColumnRenamed("node", "kind")
+    linked = components(links_of(kinds, texts, words, similarity, connected)).withColumnRenamed("node", "kind")
     labels = common.stored(least.join(linked, "kind", "left").select("key", F.coalesce("component", "kind").alias("component")), "labels")
     found = common.stored(docs.select("row", "id", "key").join(labels, "key").select("row", "id", "component"), "groups")
-    for x in (docs, least, kinds, labels):
+    for x in (docs, least, kinds, connected, labels):
         common.dropped(x)
     return found.withColumnRenamed("id", id_col) if id_col != "id" else found
 

@@ -141,6 +141,23 @@ def test_all_members_of_a_bucket_meet(spark):
     assert {tuple(r) for r in found.collect()} == {(1, 3)}
 
 
+def test_ball_hashing_finds_near_duplicates_that_share_no_band(spark):
+    """Of three texts with one fingerprint the first is unlike the others, which are at 0.8 and share no band of least hashes."""
+    rng = np.random.default_rng(1634)  # found by trial
+    line, tail = "one two three four five six seven ".split() * 60, [f"w{x}" for x in rng.integers(0, 1 << 30, 272)]
+    other = list(tail)
+    for k in range(6):
+        other[20 + 45 * k] = f"n{k}"
+    texts = [" ".join(line + t) for t in ([f"x{k}" for k in range(272)], tail, other)]
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    bands = simhash.sketches([t.encode() for t in texts], 5)[2]
+    assert share(0, 1) < 0.1 > share(0, 2) and 0.8 <= share(1, 2) < 0.81 and not any(a == b for a, b in zip(*bands[1:], strict=True))
+    assert len({simhash.simhash(t.encode(), 5) for t in texts}) == 1
+    kept = simhash.without_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1]
+
+
 def test_rows_keep_their_numbers_when_the_input_is_cut_anew(spark, tmp_path):
     texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
     for n in range(4):
