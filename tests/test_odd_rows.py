@@ -62,3 +62,20 @@ def test_links_are_fewer_than_pairs(spark):
     near = spark.createDataFrame([(i, i) for i in range(256)], "id long, h long")  # all within 8 bits
     assert joins.hamming_pairs(near, "h", distance=8).count() == 256 * 255 // 2
     assert joins.hamming_links(near, "h", distance=8).count() == 255
+
+
+def documents(spark, texts, lang="en"):
+    return spark.createDataFrame([(i, t, lang, f"src{i % 7}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_furniture_with_letters_beyond_ascii(spark, tmp_path):
+    lines = ["Éxi annual report", "İstanbul annual report", "ΟΔΟΣ annual report", "annual report xiv -\u0085"]
+    page = "\n".join(x for _ in range(4) for x in ("page", *lines))
+    rows = like_sql(spark, "chrome_detect", tmp_path, documents=documents(spark, [page, "page\n" * 3]))
+    assert {r[1] for r in rows} >= {"é# annual report", "istanbul annual report"}
+
+
+def test_headings_that_look_like_numbers(spark, tmp_path):
+    texts = ["a\n1219 Title\nb\n77 noise\nc", "a\n\n\n 12 x\nb\n9\n8\n7 y", "a\nb\n\nnoise after a bare number\nc", "a\nb\nx\u0085y\nd"]
+    rows = like_sql(spark, "resection_headings", tmp_path, documents=documents(spark, texts))
+    assert (0, 1, "1.1 1219 Title") in rows and (0, 3, "2.3 b") in rows
