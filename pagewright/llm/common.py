@@ -21,19 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import dropped, shared_path, stored  # noqa: F401
+from ..sources.shared import dropped, shared_path, small_batches, stored  # noqa: F401
 from ..sources.tables import table  # noqa: F401
 
 #: Bytes of text that a Python worker expands at once.
 SLICE_BYTES = 4 << 20
-#: Bytes of rows that go to a Python worker at once.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that sends rows to Python in batches of bounded bytes, not only of bounded rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
 
 
 def unused(df: DataFrame, name: str) -> str:

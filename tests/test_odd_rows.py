@@ -79,3 +79,27 @@ def test_headings_that_look_like_numbers(spark, tmp_path):
     texts = ["a\n1219 Title\nb\n77 noise\nc", "a\n\n\n 12 x\nb\n9\n8\n7 y", "a\nb\n\nnoise after a bare number\nc", "a\nb\nx\u0085y\nd"]
     rows = like_sql(spark, "resection_headings", tmp_path, documents=documents(spark, texts))
     assert (0, 1, "1.1 1219 Title") in rows and (0, 3, "2.3 b") in rows
+
+
+def test_scores_in_pieces(spark, tmp_path, monkeypatch):
+    from pagewright.operators import lexical
+
+    for name, n in (("QUESTIONS_AT_ONCE", 2), ("POSTINGS_AT_ONCE", 5), ("CELLS_AT_ONCE", 6)):
+        monkeypatch.setattr(lexical, name, n)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)] + ["Straße", "x_1"]
+    texts = ["", "w1", *(" ".join(rng.choice(words, k)) for k in rng.integers(1, 40, 150))]
+    docs = documents(spark, texts)
+    docs = docs.union(docs.where("doc_id < 9")).union(docs.where("doc_id between 3 and 5").selectExpr("doc_id", "concat(text, ' w1 w2')", "lang", "source", "n_chars"))
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, 6))) for i in range(7)] + [(3, "w1 w5 w5"), (9, ""), (10, "nowhere")], "item_id long, text string")
+    rows = like_sql(spark, "bm25_batch", tmp_path, documents=docs, benchmark=asked)
+    assert len({r[1] for r in rows}) == 7 and len(rows) > 7 * 50
+
+
+def test_no_task_sorts_all_scores_of_a_question(spark):
+    from pagewright.operators import lexical
+
+    docs = spark.range(0, 4000, 1, 4).selectExpr("id", "concat('common ', id) as text")
+    asked = [{"query_id": 1, "term": "common"}]
+    best = lexical._best_of(docs, asked, spark.createDataFrame([(1,)], "query_id long").schema[0], 3)
+    assert best.count() <= 3 * best.rdd.getNumPartitions() and {r["id"] for r in best.collect()} >= {0, 1, 2}
