@@ -103,3 +103,42 @@ def test_no_task_sorts_all_scores_of_a_question(spark):
     asked = [{"query_id": 1, "term": "common"}]
     best = lexical._best_of(docs, asked, spark.createDataFrame([(1,)], "query_id long").schema[0], 3)
     assert best.count() <= 3 * best.rdd.getNumPartitions() and {r["id"] for r in best.collect()} >= {0, 1, 2}
+
+
+def test_all_cascades_are_suspected(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from pagewright.functions import text as T
+
+    prose = "".join(f"Some ordinary words, number {i}. " for i in range(12))
+    runs = ["foo " * 16, "xfoo  foo\t" + "foo\n" * 13 + "foo foox", "abc" * 11, "é😀x" * 11, "abcdefghijkl" * 11, "ab" * 24, ". " * 50, "(S) \\" * 16, "Electronic address: a " * 3]
+    texts = [prose] + [prose[k:] + r + prose for k in range(4) for r in runs] + [prose + "foo " * 6, prose + "abc" * 5]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(*[F.regexp_substr("t", F.lit(p)).isNotNull() for p in T.CASCADES]).collect()
+    may = T._may_cascade([t.encode() for t in texts])
+    assert all(m >> i & 1 for r, m in zip(got, may, strict=True) for i in range(5) if r[i])
+    assert may[0] == may[-1] == may[-2] == 0 and all(any(r) for r in got[1:-2]) and re.search("é", texts[4])
+
+
+def test_windows_collapse_a_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from pagewright.operators import chunk
+
+    df = spark.createDataFrame([("a  b " * 999,)], "t string").select(chunk.windows(F.col("t"), 100, F.lit(10)).alias("w"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert len(df.collect()[0].w[0]) == 100
+
+
+def test_markdown_moves_no_lines_and_goes_in_small_batches(spark):
+    from pagewright.operators import blocks, render
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = documents(spark, ["# A\nx", "y"]).union(documents(spark, ["# B\nz"]))
+    found = blocks.from_markdown(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.section, r.block_text) for r in found.collect()) == [(0, "A", "A"), (0, "A", "x"), (0, "B", "B"), (0, "B", "z"), (1, "", "y")]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert render.documents_as_markdown(blocks.line_blocks(docs)).count() == 3
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
