@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clause_key, collapsed, collapsed_ends, embed_budget, embed_input
+from ..sources.shared import small_batches
 
 # Default sizes.
 SIZE, OVERLAP, EMBED_CHARS, CLAUSE_LEVELS = 1000, 150, 1600, 3
@@ -23,13 +24,20 @@ WINDOW_LINES, WINDOW_CHARS, WINDOW_OVERLAP = 50, 800, 10
 
 
 def windows(text: Column, size: Column | int, overlap: Column | int) -> Column:
-    """Array of windows over the white-space-collapsed text; an empty text has none."""
+    """Array of windows over the white-space-collapsed text; an empty text has none.
+
+    The collapsed text is bound to a name by a transform over one element, so
+    that it isn't made anew for each window.
+    """
     size = F.greatest(F.lit(1), F.lit(size) if isinstance(size, int) else size)
     step = F.greatest(F.lit(1), size - overlap)
-    clean = collapsed(F.coalesce(text, F.lit("")))
-    last = F.when(F.length(clean) <= size, 0).otherwise(F.ceil((F.length(clean) - size) / step)).cast("int")
-    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(clean, (i * step + 1).cast("int"), size.cast("int")))
-    return F.when(clean != "", each).otherwise(F.array().cast("array<string>"))
+
+    def cut(clean: Column) -> Column:
+        last = F.when(F.length(clean) <= size, 0).otherwise(F.ceil((F.length(clean) - size) / step)).cast("int")
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(clean, (i * step + 1).cast("int"), size.cast("int")))
+        return F.when(clean != "", each).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(collapsed(F.coalesce(text, F.lit("")))), cut), F.lit(0))
 
 
 def sliding(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,4 +209,4 @@ def by_document(docs: DataFrame, fold, fields: str, id_col: str = "doc_id", bloc
             rows = [(i, *r) for i, value in zip(frame[id_col], frame[blocks_col], strict=True) for r in fold(value)]
             yield pd.DataFrame(rows, columns=[id_col, *names])
 
-    return docs.select(id_col, blocks_col).mapInPandas(run, schema)
+    return small_batches(docs.select(id_col, blocks_col)).mapInPandas(run, schema)
